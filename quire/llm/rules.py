@@ -110,7 +110,7 @@ counted as (
          cast(length(regexp_replace(a.t, '{spaces}', '', 'g')) as bigint) as word_chars,
          cast(length(a.t) - length(regexp_replace(a.t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
          length(a.t) - length(regexp_replace(a.t, '[A-Z]', '', 'g')) as n_upper,
-         len(list_filter(a.w, x -> lower(x) in ({stop}))) as n_stop,
+         len([x for x in a.w if lower(x) in ({stop})]) as n_stop,
          cast(coalesce(l.n_dup, 0) as bigint) as n_dup_lines, coalesce(l.n_lines, 0) as n_lines,
          coalesce(p.n, 0) as n_repeat_words
   from rowed a left join lines l using (r) left join repeated p using (r)),
