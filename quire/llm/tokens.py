@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 3 << 20
+PIECE = 1 << 20
 _rng = np.random.default_rng(20240)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _LANES = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * PIECE)
+        size = max(n, PIECE + (PIECE >> 2))
         inverse = pow(_BASE, -1, 2**64)
         with np.errstate(over="ignore"):
             tables = []
