@@ -10,13 +10,13 @@ Word shingles under the Jaccard distance are a metric space, joined in regions a
    document lies in the region of each of its parts; those near the border of a size class are copied to the
    next class.
 2. *Pivots within regions.* Each region takes a pivot document, every other one is compared with it exactly,
-   and linked ones join its cell. Pairs of one cell need no further test.
-3. *Recursion.* While a region holds more than one cell, its next pivots come from its smallest cells. A
-   pair is left out only where it lies in one cell or where the triangle inequality on the distances to the
-   first pivot, or the sizes, rule it out. Pivots leave their region, so it ends.
+   and linked ones join its cell. Pairs of one cell need no further test, and most regions are one cell.
+3. *Recursion.* The other regions are gathered into groups that have no region in common. In a group every
+   document outside the largest cell is a pivot, compared exactly with all documents of the group, block by
+   block; again only what connects two cells is kept.
 
-Each step is linear in a region's documents; no pairs of a group are enumerated, and a region of any size
-is streamed from sorted shuffle partitions.
+Sizes rule out pairs before a comparison. No pairs of a group are enumerated as rows, a region of any size is
+streamed from sorted shuffle partitions, and a group of any size is dealt into blocks.
 """
 
 from __future__ import annotations
@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.tables import dropped, written
+from quire.llm.tables import written
 from quire.llm.tokens import distinct_sets, mix, pieces, shingles, words
 
-PIVOTS = 8
+#: Shingles in a block of a group.
+BLOCK = 150_000
 
 
 @lru_cache(maxsize=None)
@@ -147,6 +148,81 @@ def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _blocks(percent: int):
+    """Links between the pivots and the documents of each block (rows sorted by block), as a spanning forest."""
+
+    def links(pivots: list[tuple], others: list[tuple]) -> list[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        cells = np.array([o[1] for o in others])
+        sizes = np.array([len(o[2]) for o in others])
+        flat = np.concatenate([o[2] for o in others])
+        order = np.argsort(flat, kind="stable")
+        value = flat[order]
+        owner = np.repeat(np.arange(len(others)), sizes)[order]
+        out = []
+        for name, cell, shingle in pivots:
+            lo, hi = np.searchsorted(value, shingle, "left"), np.searchsorted(value, shingle, "right")
+            size = hi - lo
+            index = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            both = np.bincount(owner[index], minlength=len(others))
+            for j in np.flatnonzero((100 * both >= percent * (len(shingle) + sizes - both)) & (cells != cell)).tolist():
+                a, b = find(cell), find(int(cells[j]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((name, others[j][0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            got = links(held[1], held[0]) if held[0] and held[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            pivot, ids, cells, sets = (batch.column(i) for i in range(3, 7))
+            flat, at = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+            for i, (p, x, c) in enumerate(zip(pivot.to_pylist(), ids.to_pylist(), cells.to_pylist(), strict=True)):
+                if keys[i] != key:
+                    if key is not None:
+                        yield done()
+                    key, held = keys[i], ([], [])
+                held[p].append((x, c, flat[at[i] : at[i + 1]].copy()))
+        if key is not None:
+            yield done()
+
+    return run
+
+
+def _group_links(left: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different cells of a group.
+
+    Documents outside a group's largest cell are pivots, each compared exactly with every document of the group
+    through an inverted index. Pivots and documents of a group are dealt into blocks of about ``BLOCK`` shingles, and
+    each pair of blocks is one piece of work, whatever the group's size. Of the links only a forest comes out.
+    """
+    docs = left.select("id", "cell").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")), "id").join(sets, "id")
+    docs = written(docs.select("g", "id", "cell", "shingles"))
+    by_cell = docs.groupBy("g", "cell").agg(F.count("*").alias("docs"), F.sum(F.size("shingles").cast("long")).alias("size"))
+    stat = by_cell.groupBy("g").agg(F.max(F.struct("docs", "cell")).alias("top"), F.sum("size").alias("size"))
+    parts = lambda: F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    docs = docs.join(stat.select("g", F.col("top.cell").alias("main"), parts().alias("parts")), "g")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    pivots = docs.where("cell <> main").select("g", own.alias("p"), F.explode(every).alias("q"), F.lit(1).alias("pivot"), "id", "cell", "shingles")
+    others = docs.select("g", F.explode(every).alias("p"), own.alias("q"), F.lit(0).alias("pivot"), "id", "cell", "shingles")
+    dealt = pivots.unionByName(others).repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
+    return dealt.mapInArrow(_blocks(percent), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, component_id)`` of documents with a link to another one.
 
@@ -182,28 +258,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     links = tested.where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     cells = written(components(links))
 
-    # similarity to the first pivot, for the triangle inequality; a pair not tested there has none
-    closeness = tested.select("id", F.col("pivot").alias("first"), (F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("close"))
-    todo = regions.where("id <> first").join(closeness, ["id", "first"], "left").select("part", "id", "n", "close")
-    while True:
-        label = cells.select(F.col("node").alias("id"), F.col("component").alias("cell"))
-        now = todo.join(label, "id", "left").withColumn("cell", F.coalesce("cell", "id"))
-        open_parts = now.groupBy("part").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo <> hi").select("part")
-        weight = cells.groupBy(F.col("component").alias("cell")).agg(F.count("*").alias("weight"))
-        now = written(now.join(open_parts, "part").join(weight, "cell", "left").select("part", "id", "n", "close", "cell", F.coalesce("weight", F.lit(1)).alias("weight")))
-        if now.isEmpty():
-            dropped(now)
-            break
-        ranked = now.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("weight", "cell", "id")))
-        pivot = ranked.where(F.col("rank") <= PIVOTS).select("part", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("close").alias("pclose"), F.col("cell").alias("pcell"))
-        reach = F.coalesce(F.abs(F.col("close") - F.col("pclose")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-        pairs = now.join(pivot, "part").where((F.col("cell") != F.col("pcell")) & near(F.col("n"), F.col("pn")) & reach)
-        tested = _tested(pairs.select(F.least("id", "pivot").alias("id"), F.greatest("id", "pivot").alias("pivot")).distinct(), sets, percent)
-        found = written(tested.where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        if not found.isEmpty():
-            grown = cells.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-            cells = written(components(grown))
-        todo = written(ranked.where(F.col("rank") > PIVOTS).select("part", "id", "n", "close"))
+    # regions that hold more than one cell, their documents gathered into groups that share no region
+    label = cells.select(F.col("node").alias("id"), F.col("component").alias("cell"))
+    now = regions.select("part", "id").join(label, "id", "left").withColumn("cell", F.coalesce("cell", "id"))
+    mixed = now.groupBy("part").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo <> hi").select("part")
+    left = written(now.join(mixed, "part").select("part", "id", "cell"))
+    heads = left.groupBy("part").agg(F.min("id").alias("head"))
+    groups = components(left.join(heads, "part").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    links = links.unionByName(_group_links(left, groups, sets, percent))
+    cells = components(links)
     return cells.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
