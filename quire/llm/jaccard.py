@@ -8,7 +8,8 @@ Word shingles under the Jaccard distance are a metric space, joined in regions a
    the same radius: the shingle universe is cut into ``M`` parts, where ``M`` exceeds the largest symmetric
    difference ``e`` that two linked sets of that size can have, so linked sets agree on one part at least. A
    document lies in the region of each of its parts; those near the border of a size class are copied to the
-   next class.
+   next class. Shingles of common lines, found by a sketch of counts over all documents, are left out of the
+   parts, which keeps regions small and loses nothing.
 2. *Pivots within regions.* Each region takes a pivot document, every other one is compared with it exactly,
    and linked ones join its cell. Pairs of one cell need no further test, and most regions are one cell.
 3. *Recursion.* The other regions are gathered into groups that have no region in common. In a group every
@@ -22,6 +23,7 @@ streamed from sorted shuffle partitions, and a group of any size is dealt into b
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +38,8 @@ from quire.llm.tokens import distinct_sets, mix, pieces, shingles, words
 
 #: Shingles in a block of a group.
 BLOCK = 150_000
+#: Cells of the sketch of shingle counts, and the pieces in which it is added up.
+CELLS, SEGMENTS = 1 << 20, 64
 
 
 @lru_cache(maxsize=None)
@@ -81,32 +85,87 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield p.first, p.rows, *distinct_sets(row, value, p.rows)
 
 
-def _part_keys(k: int, percent: int):
+def _counts(k: int):
+    """Documents of each cell of a fixed sketch of all shingles, from one partition, in compressed segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, _, _, value, _ in _sets(batch.column(1), k):
+                total += np.bincount((value & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        yield _segments(range(SEGMENTS), np.split(total, SEGMENTS))
+
+    return run
+
+
+def _segments(numbers, totals) -> pa.RecordBatch:
+    packed = [zlib.compress(t.astype(np.int64).tobytes(), 1) for t in totals]
+    return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "packed"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = np.zeros(CELLS // SEGMENTS, np.int64)
+    for raw in table.column("packed"):
+        total += np.frombuffer(zlib.decompress(raw.as_py()), np.int64)
+    return pa.Table.from_batches([_segments([table.column("segment")[0].as_py()], [total])])
+
+
+def frequent_cells(docs: DataFrame, k: int) -> np.ndarray:
+    """Flags of the sketch's cells that hold a shingle of far more documents than an average cell has.
+
+    Counts cover all documents; the sketch has the same size whatever their number, and it is added up in two steps.
+    """
+    parts = docs.mapInArrow(_counts(k), "segment int, packed binary").withColumn("salt", F.pmod(F.xxhash64("packed"), F.lit(16)))
+    for keys in (["segment", "salt"], ["segment"]):
+        parts = parts.groupBy(*keys).applyInArrow(_added, "segment int, packed binary")
+    rows = sorted(parts.select("segment", "packed").collect())
+    if not rows:
+        return np.zeros(CELLS, bool)
+    total = np.concatenate([np.frombuffer(zlib.decompress(bytes(r["packed"])), np.int64) for r in rows])
+    mean = total.mean()
+    return total > mean + 6 * mean**0.5 + 30
+
+
+def _part_keys(k: int, percent: int, frequent: np.ndarray):
+    """Keys of the parts of each document's set.
+
+    Frequent shingles (of common lines) are left out of the parts: what two linked sets differ by without them is
+    no more than with them, so they still agree on a part that is not empty if one of them has more parts than
+    errors. Documents that have not, being made of common lines, take part with their whole sets among themselves.
+    """
     schema = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
+    packed = np.packbits(frequent)
+
+    def keys_of(row: np.ndarray, value: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(row):
+            return np.zeros(0, np.uint64), row
+        with np.errstate(over="ignore"):
+            part = ((value >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+            begin = np.flatnonzero(new)
+            return mix(np.add.reduceat(mix(value), begin) + mix(part[begin] + np.uint64(salt))), row[begin]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(packed).astype(bool)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, rows, row, value, at in _sets(batch.column(1), k):
                 own = ids[first : first + rows]
                 sizes = np.diff(at)
+                rare = ~common[(value & np.uint64(CELLS - 1)).astype(np.int64)]
                 for j, who in _levels_of(sizes, percent):
                     _, errors, parts = _level(j, percent)
                     picked = np.zeros(rows, bool)
                     picked[who] = True
-                    sel = picked[row]
-                    r, v = row[sel], value[sel]
-                    with np.errstate(over="ignore"):
-                        part = ((v >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                        new = np.ones(len(r), bool)
-                        new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
-                        begin = np.flatnonzero(new)
-                        total = np.add.reduceat(mix(v), begin)
-                        key = mix(total + mix(part[begin] + np.uint64((j + 1) << 40)))
-                    where = r[begin]
-                    thin = np.flatnonzero(np.bincount(where, minlength=rows)[who] <= errors)
-                    key = np.concatenate([key, np.full(len(thin), mix(np.array([j + 1], np.uint64))[0])])
-                    where = np.concatenate([where, who[thin]])
+                    use = picked[row]
+                    key, where = keys_of(row[use & rare], value[use & rare], parts, (2 * j + 2) << 40)
+                    picked[np.bincount(where, minlength=rows) > errors] = False
+                    use = picked[row]
+                    more, there = keys_of(row[use], value[use], parts, (2 * j + 3) << 40)
+                    thin = np.flatnonzero(picked & (np.bincount(there, minlength=rows) <= errors))
+                    key = np.concatenate([key, more, np.full(len(thin), mix(np.array([j + 1], np.uint64))[0])])
+                    where = np.concatenate([where, there, thin])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own[where]), pa.array(sizes[where].astype(np.int32))], schema=schema)
 
     return run
@@ -235,7 +294,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     if not 50 <= percent <= 100 or k < 1:
         raise ValueError("percent must be 50 to 100 and k positive")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    keys = docs.mapInArrow(_part_keys(k, percent), "part long, id long, n int")
+    keys = docs.mapInArrow(_part_keys(k, percent, frequent_cells(docs, k)), "part long, id long, n int")
     by_part = Window.partitionBy("part").orderBy("id")
     regions = written(
         keys.select(
@@ -258,9 +317,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     links = tested.where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     cells = written(components(links))
 
-    # regions that hold more than one cell, their documents gathered into groups that share no region
+    # regions whose other documents, beside the pivot, are of more than one cell, gathered into groups that share none
     label = cells.select(F.col("node").alias("id"), F.col("component").alias("cell"))
-    now = regions.select("part", "id").join(label, "id", "left").withColumn("cell", F.coalesce("cell", "id"))
+    now = regions.where("id <> first").select("part", "id").distinct().join(label, "id", "left").withColumn("cell", F.coalesce("cell", "id"))
     mixed = now.groupBy("part").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo <> hi").select("part")
     left = written(now.join(mixed, "part").select("part", "id", "cell"))
     heads = left.groupBy("part").agg(F.min("id").alias("head"))
