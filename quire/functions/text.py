@@ -16,15 +16,16 @@ def terms(text: Column, longest: int = 3) -> Column:
     low = F.lower(text)
 
     def grams(x: Column) -> Column:
-        n = F.length(x)
+        n = F.size(x)
         none = F.expr("cast(array() as array<string>)")
 
         def of(k: int) -> Column:
-            return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(x, i, F.lit(k)))).otherwise(none)
+            return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat(*[F.get(x, i + j) for j in range(k)]))).otherwise(none)
 
         return F.array_distinct(F.concat(*[of(k) for k in range(1, longest + 1)]))
 
-    return F.transform(F.array(low), grams)[0]
+    # code points once as an array: places in a string are found by counting from its start
+    return F.transform(F.array(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0))), grams)[0]
 
 
 def anchor(query: str, longest: int = 3) -> str:
@@ -89,7 +90,7 @@ def markup_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]*>", "")
     for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(safe), F.lit(raw))
-    return F.trim(F.regexp_replace(out, r"\n{2,}", "\n"))
+    return F.regexp_replace(F.regexp_replace(out, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
 
 
 def reflow(text: Column) -> Column:

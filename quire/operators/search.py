@@ -26,7 +26,7 @@ def search(blocks: DataFrame, query: str, limit: int, index: DataFrame | None =
     """
     if index is not None:
         probe = index.where(F.col("gram") == anchor(query)).select("doc_id", "block_no")
-        blocks = blocks.join(probe, ["doc_id", "block_no"], "left_semi")
+        blocks = blocks.join(probe, ["doc_id", "block_no"], "left_semi").select(*blocks.columns)
     return blocks.where(contains_folded(F.col("text"), query)).orderBy("doc_id", "block_no").limit(limit)
 
 

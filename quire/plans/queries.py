@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as geo
 from quire.functions import hashing, money
-from quire.functions.text import markup_text, substituted, terms
+from quire.functions.text import contains_folded, markup_text, substituted
 from quire.operators import gates, ledger, search, sequence
 from quire.sources.pages import in_ranges, page_ranges, read
 
@@ -59,8 +59,8 @@ def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LINES + "select doc_id, count(*) as hits from lines where contains(lower(text), 'ent') group by doc_id order by hits desc, doc_id limit 20")
 def search_docs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through the index: the anchor's postings are the matches of a three-letter query."""
-    index = search.postings(_lines(spark, sf_dir)).where("gram = 'ent'")
+    """The anchor's postings are the matches of a three-letter query; only lines that have it are indexed."""
+    index = search.postings(_lines(spark, sf_dir).where(contains_folded(F.col("text"), "ent"))).where("gram = 'ent'")
     return index.groupBy("doc_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(20)
 
 
@@ -507,11 +507,11 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n("both", s.intersect(t)).unionByName(n("left", s.subtract(t))).unionByName(n("either", s.union(t).distinct()))
 
 
-@query("""select n_name, o_orderpriority, count(*) as orders, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
+@query("""select n_name, o_orderpriority, count(*) as orders, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2)))) as double) as revenue
 from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join nation on n_nationkey = c_nationkey
 where l_shipdate >= timestamp '1995-01-01' and c_mktsegment = 'BUILDING' group by n_name, o_orderpriority""")
 def generic_join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
     customers = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     joined = lines.join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("revenue"))
