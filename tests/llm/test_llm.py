@@ -1,0 +1,336 @@
+"""Operators against brute force, on hand-made rows and on edge cases."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import decontam, graph, html, jaccard, licenses, linededup, mixing, quality, rules, secrets, tokens, toxicity
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, pos string, cell string"
+
+
+def rows(spark, *texts, start=0):
+    data = [(start + i, t, "en", None if i % 5 == 4 else f"s{i % 3}", len(t or ""), "k", "p", "c") for i, t in enumerate(texts)]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, white space only, very long, repeated rows, ties."""
+    df = rows(spark, None, "", " \n\t ", "one", "One two", "word " * 60_000, "Ünïcödé ☃ " * 30, "same text here " * 20, "same text here " * 20)
+    return df.unionByName(df.where("doc_id in (0, 4, 8)")).unionByName(df.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{DATA}/labels.parquet")
+
+
+def test_words_match_the_pattern():
+    import pyarrow as pa
+
+    texts = ["A b\x0bc d  É", "", None, "x" * 3000, "end "]
+    for p in tokens.pieces(pa.array(texts), 100):
+        w = tokens.words(p, lower=False)
+        got = [p.data[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)]
+        assert got == [x for t in texts[p.first : p.first + p.rows] for x in WORD.findall(t or "")]
+    h = [tokens.words(next(tokens.pieces(pa.array([t])))).hash.tolist() for t in ("The END", "tHE end", "the ends")]
+    assert h[0] == h[1] != h[2]
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 9), (3, 10), (None, 1)] + [(100, 101 + i) for i in range(50)]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 4: 4, 5: 4, 8: 8, 9: 8, **{100 + i: 100 for i in range(51)}}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingle_set(text, k):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(texts, k, percent):
+    sets = {i: shingle_set(t, k) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80), (2, 50), (3, 100)])
+def test_jaccard_equals_brute_force(spark, k, percent):
+    rng = random.Random(3)
+    base = [prose(rng, rng.choice((2, 4, 9, 40, 120))) for _ in range(25)]
+    common = prose(rng, 30)
+    texts = []
+    for t in base:
+        for edits in (0, 0, 1, 2, 3, 5, 8):
+            w = t.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            texts.append(" ".join(w) + (f" {common}" if rng.random() < 0.4 else ""))
+    texts += [None, "", " "]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_join(rows(spark, *texts), k, percent).collect()}
+    assert got == brute_components(dict(enumerate(texts)), k, percent)
+
+
+def test_jaccard_on_the_data(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_join(docs).collect()}
+    assert got == brute_components(texts, 3, 90)
+
+
+def test_near_duplicates_removed(spark, odd):
+    kept = jaccard.near_duplicates_removed(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted([(False, i) for i in (0, 0, 1, 2, 3, 4, 4, 5, 6, 7)] + [(True, 0)])
+
+
+def test_line_dedup(spark):
+    rng = random.Random(5)
+    p, q = prose(rng, 60), prose(rng, 51)
+    texts = [f"{prose(rng, 30)} {p} {prose(rng, 20)}", f"{prose(rng, 7)}\n{q}", f"{p}", f"start here {q}\nand more {p} end", prose(rng, 49), None, "", prose(rng, 80)]
+    texts.append(texts[4])  # 49 words: no passage
+    texts.append(texts[7] + "\n" + texts[7])
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.line_dedup(rows(spark, *texts)).collect()}
+    for i in (0, 1, 4, 7, 8):
+        assert got[i] == (texts[i], 0)
+    assert got[2] == ("", 60) and got[5] == (None, 0) and got[6] == ("", 0) and got[9][0] == ""
+    assert got[3][0].split() == "start here and more end".split() and got[3][1] == 111
+
+
+def test_line_dedup_equals_brute_force_between_texts(spark, docs):
+    first, bad = {}, []
+    got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(docs).collect()}
+    for r in docs.orderBy("doc_id").collect():
+        w = WORD.findall(r["text"])
+        keys = [" ".join(w[p : p + 50]) for p in range(len(w) - 49)]
+        gone = np.zeros(len(w), bool)
+        for p, key in enumerate(keys):
+            if first.setdefault(key, r["doc_id"]) != r["doc_id"]:
+                gone[p : p + 50] = True
+        if len(set(keys)) == len(keys) and WORD.findall(got[r["doc_id"]]) != [x for x, g in zip(w, gone, strict=True) if not g]:
+            bad.append(r["doc_id"])
+    assert not bad
+
+
+def test_lines_deduped_keeps_columns(spark, odd):
+    out = linededup.lines_deduped(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    for r in out.where("doc_id = 8").collect():
+        assert r["text"] == "" and r["n_chars"] == 0
+    assert len(out.where("doc_id = 5").first()["text"]) < 1000
+
+
+def test_quality(spark, docs, labels, odd):
+    m = quality.quality_scores(docs, labels).join(labels, "doc_id").toPandas()
+    assert (m.predicted == m.quality)[~m.held_out].mean() > 0.97 and (m.predicted == m.quality)[m.held_out].mean() > 0.9
+    out = quality.quality_scores(odd, labels).collect()
+    assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
+    assert {r["score"] for r in out if r["doc_id"] in (0, 1, 2)} == {0.0}
+    assert quality.quality_scores(odd, labels.limit(0)).count() == odd.count()
+    assert quality.good_documents(docs, labels).columns == docs.columns
+
+
+def test_crf_marginals_equal_enumeration():
+    rng = np.random.default_rng(1)
+    good, trans, first = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([0, 4, 4, 7])
+    got, _ = quality._marginals(good, trans, first)
+    for a, b in ((0, 4), (4, 7)):
+        weight = {y: np.exp(sum(good[a + i] * v for i, v in enumerate(y)) + sum(trans[u, v] for u, v in itertools.pairwise(y))) for y in itertools.product((0, 1), repeat=b - a)}
+        want = [sum(w for y, w in weight.items() if y[i]) / sum(weight.values()) for i in range(b - a)]
+        assert np.allclose(got[a:b], want)
+
+
+def test_toxicity(spark, odd, labels):
+    rng = random.Random(2)
+    bad = ["grumbolt", "fnarkle", "zorptag", "blivver"]
+    texts, toxic = [], []
+    for i in range(400):
+        w = prose(rng, 60).split()
+        toxic.append(int(i % 4 == 0))
+        if toxic[-1]:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(bad) + rng.choice(("", "ed", "s")))
+        texts.append(" ".join(w))
+    known = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    m = toxicity.toxicity_scores(rows(spark, *texts), known).join(known, "doc_id").toPandas()
+    assert (m.predicted == m.toxic)[m.held_out].mean() > 0.95
+    out = toxicity.toxicity_scores(odd, labels).collect()
+    assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.toxicity_scores(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_secrets(spark, odd):
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    text = f"ſecret=notthis token = \"abc\" Password: 'hunter22' {key} {'0f' * 16} https://api.example.com/x Q7xT9vL2mN4pR8sW1yZ3bK5d\n\nalone ZZ7xT9vL2mN4pR8sW1yZ3bK5d"
+    r = secrets.secret_scan(rows(spark, text, None)).orderBy("doc_id").collect()
+    spans = [tuple(s.split(":")) for s in r[0]["spans"].split(",")]
+    found = {k: text[int(a) : int(b)] for k, a, b in spans}
+    assert found["assign"] == "Password: 'hunter22" and found["access"] == key and found["hex"] == "0f" * 16
+    assert found["endpoint"].startswith("https://") and found["secret"].startswith("Q7") and (r[0]["n_assign"], r[0]["n_access"], r[0]["n_hex"]) == (1, 1, 1)
+    assert r[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and r[1]["spans"] == ""
+    assert secrets.secret_scan(odd).count() == odd.count()
+
+
+def test_licenses(spark, odd):
+    mit = dict(licenses.TEMPLATES)["MIT"]
+    found = licenses.license_scan(rows(spark, f"Ünd {mit} and so on", "Released under the MIT\nlicense!", "no license here at all", None)).collect()
+    assert {(r["doc_id"], r["license"]) for r in found} == {(0, "MIT"), (1, "MIT")}
+    r = next(r for r in found if r["doc_id"] == 1)
+    assert (r["start"], r["end"]) == (0, 30)
+    assert licenses.license_scan(odd).count() == 0
+
+
+def test_decontamination(spark, odd):
+    rng = random.Random(9)
+    item = "How many apples does Maria buy if she pays 35 dollars for 7 kg and every box holds 12 kg of fruit today"
+    asked = "how many apples does Pedro buy if she pays 44 dollars for 9 kg and every box holds 15 kg of fruit today"
+    odd_slots = "how many apples does Pedro buy if she pays 44 dollars for 9 kg and every box holds 15 kg of fruit today"
+    bench = spark.createDataFrame([(1, item), (2, prose(rng, 40)), (3, None), (None, prose(rng, 30))], "item_id long, text string")
+    second = bench.where("item_id = 2").first()["text"]
+    texts = [f"{prose(rng, 13)} {asked} {prose(rng, 5)}", f"{prose(rng, 8)}\n{second.upper()}", prose(rng, 200), odd_slots, " ".join(second.split()[:10])]
+    got = decontam.leaks(rows(spark, *texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 1), (1, 2), (3, 1)}
+    same = spark.createDataFrame([(1, "give 7 and 7 and 7 to the man who asks for seven more of them")], "item_id long, text string")
+    consistent, not_so = "give 5 and 5 and 5 to the man who asks for seven more of them", "give 5 and 6 and 8 to the man who asks for seven more of them"
+    assert [r["doc_id"] for r in decontam.leaks(rows(spark, consistent, not_so), same).collect()] == [0]
+    kept = decontam.decontaminated(rows(spark, *texts), bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4] and "pos" in kept.columns
+    assert decontam.decontaminated(odd, bench.limit(0)).count() == odd.count()
+
+
+def brute_mix(data):
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in data}
+    by = {}
+    for i, _, s in data:
+        by.setdefault(s, []).append(i)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[j % 3] for j, s in enumerate(order)}
+    total = {s: sum(size[i] for i in by[s]) for s in order}
+    target, rest = {}, set(order)
+    left = 1.5 * sum(total.values())
+    while rest:
+        level = left / sum(weight[s] for s in rest)
+        over = {s for s in rest if weight[s] * level > 2 * total[s]}
+        if not over:
+            target |= {s: weight[s] * level for s in rest}
+            break
+        for s in over:
+            target[s] = 2.0 * total[s]
+            left -= target[s]
+        rest -= over
+    return size, total, target
+
+
+def test_mixing(spark, odd):
+    rng = random.Random(4)
+    data = [(i, prose(rng, rng.randint(0, 90)) if i % 7 else None, [None, "a", "b", "é", "Z"][rng.randrange(5) if i > 60 else 1]) for i in range(200)]
+    size, total, target = brute_mix(data)
+    got = mixing.mixed(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    taken = {}
+    for r in got:
+        s = data[r["doc_id"]][2]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == total[s] and r["target"] == pytest.approx(target[s]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert all(abs(taken[s] - target[s]) < 2 for s in target)
+    assert mixing.mixed(odd).count() == odd.count() and mixing.mixed(odd.limit(0)).count() == 0
+    assert mixing.mixed(rows(spark, None, "")).count() == 2
+
+
+def test_rules(spark, odd):
+    rng = random.Random(6)
+    p = prose(rng, 12)
+    texts = ["", None, f"{p}\n{p}\n{prose(rng, 30)}", "a b " * 40, prose(rng, 50) + " #*| <x>", "x\n\nx\n \nx"]
+    for r in rules.quality_rules(rows(spark, *texts)).collect():
+        t = texts[r["doc_id"]] or ""
+        w = WORD.findall(t)
+        windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        hit = {q for i, x in enumerate(windows) if windows.count(x) > 1 for q in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(hit), len(lines) - len(set(lines)))
+        assert r["n_symbols"] == sum(t.count(c) for c in "#*$%&|<>") and r["base_failed"] == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
+    out = rules.quality_rules(odd)
+    assert out.count() == odd.count() and "Python" not in out._jdf.queryExecution().toString()
+
+
+def page(body, extra=""):
+    return f"<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=/>Home</a></nav><div class='k1'><a href=/a>One</a> <a href=/b>Two</a></div>{extra}<main>{body}</main><footer>&copy; x</footer></body></html>"
+
+
+def test_html(spark):
+    body = "<h1>Title &amp; more</h1><p>First  line<br>goes&nbsp;on<p>Second <b>bold</b> &lt;x&gt;<aside>side</aside><div class='post-comments'><p>Nice!</div><form>f</form><ul><li>i<li>j</ul><!-- no --><p>cut &am"
+    want = "Title & more\nFirst line goes on\nSecond bold <x>\ni\nj\ncut &am"
+    assert html.extract(page(body), frozenset(), frozenset()) == want
+    assert html.extract("<div class=ad>Buy</div><p>only text <a title='a>b'>here</a>", frozenset(), frozenset()) == "only text here"
+    assert html.extract("a < b and c", frozenset(), frozenset()) == "a < b and c" and html.extract(None, frozenset(), frozenset()) == ""
+
+
+def test_html_template_of_a_host(spark):
+    def bare(i):
+        return f"<div class=q1><a href=1>News</a><a href=2>Sport</a></div><div class=q2><p>Unique text of page {i} with words {i * i}</p><p>We value your opinion, write to us</p></div><div class=q3>All the best from the team</div>"
+
+    data = [(i, f"http://h.org/{i}", bare(i)) for i in range(12)] + [(50, "http://small.org/1", bare(50)), (51, None, bare(51)), (52, "http://h.org/x", None), (53, "http://h.org/y", "")]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[3][0] == "Unique text of page 3 with words 9" and got[52] == ("", 0) and got[53] == ("", 0)
+    assert "We value" in got[50][0] and len(got) == 16 and got[3][1] == len(got[3][0])
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_empty_tables(spark, docs, labels):
+    none = rows(spark).where("false")
+    for f in (jaccard.jaccard_join, linededup.line_dedup, licenses.license_scan, secrets.secret_scan, rules.quality_rules, jaccard.near_duplicates_removed, linededup.lines_deduped):
+        assert f(none).count() == 0
+    assert quality.quality_scores(none, labels).count() == 0 and toxicity.toxicity_scores(none, labels).count() == 0
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline as cp
+
+    now = docs
+    for name, stage in cp.STAGES[:-1]:
+        now = cp.written(stage(spark, now, DATA))
+        assert now.columns == docs.columns and 0 < now.count() <= docs.count(), name
+    last = cp.STAGES[-1][1](spark, now, DATA)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, cp.run(spark, DATA).collect()))
+    assert last.count() == now.count()
+
+
+def test_queries_and_sql(spark):
+    import duckdb
+
+    from quire.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
+    assert len(queries()) == 10
+    for name, sql in oracle_sql().items():
+        got = queries()[name](spark, DATA)
+        want = con.execute(f"select {', '.join(got.columns)} from ({sql}) x").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name
