@@ -54,8 +54,8 @@ def _windows(text: Column, step: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_words, first_word)``: each document and item it holds a passage of.
 
-    An item counts where two windows (one, if the item has under 17 words) agree at one offset, ``n_words`` words in
-    all; ``first_word`` is the place of the first, from 0. Null ``doc_id`` or ``item_id`` and null or short texts
+    An item counts where two windows agree at one offset, ``n_words`` words in all; one is enough if the item has under
+    22 words, since what stands around a copy may change the form of its first and last words; ``first_word`` is the place of the first, from 0. Null ``doc_id`` or ``item_id`` and null or short texts
     (under ``SPAN`` words) give no row. Repeated rows count once; an empty table on either side gives an empty one.
     Other columns are not read. The benchmark is broadcast up to a checked number of windows.
     """
@@ -74,7 +74,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs"),
     )
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    need = F.least(F.lit(2), F.greatest(F.lit(1), F.floor((F.col("words") - (SPAN + STEP - 1)) / STEP) + 1))
+    need = F.least(F.lit(2), F.greatest(F.lit(1), F.floor((F.col("words") - (SPAN + 2 * STEP - 1)) / STEP) + 1))
     good = runs.where(consistent).join(side(longest), "item").where(F.col("n_windows") >= need)
     words = F.least(F.col("hi") - F.col("lo") + SPAN, F.col("n_windows") * SPAN)
     return good.groupBy("doc", "item").agg(F.sum("n_windows").alias("n_windows"), F.max(words).cast("long").alias("n_words"), (F.min("lo") - 1).cast("long").alias("first_word")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_words", "first_word")
