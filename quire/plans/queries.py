@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as geo
 from quire.functions import hashing, money
 from quire.functions.text import contains_folded, markup_text, substituted
-from quire.operators import gates, ledger, search, sequence
+from quire.operators import gates, journal, ledger, search, sequence, signals
 from quire.sources.pages import in_ranges, page_ranges, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -515,3 +515,89 @@ def generic_join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     joined = lines.join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("revenue"))
+
+
+@query(JOURNAL + """, s as (select user_id, k, event_id, k - lag(k) over (partition by user_id order by k, event_id) as step from log where event_type <> 'signup')
+select user_id, k, case when step = 0 then 'REUSED' else 'GAP' end as fault, cast(count(*) as bigint) as n, cast(sum(greatest(step - 1, 0)) as bigint) as missing
+from s where step = 0 or step > 1 group by user_id, k, fault""")
+def sequence_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir).where("event_type <> 'signup'")
+    return journal.sequence_faults(log, ["user_id"], "k").groupBy("user_id", "k", "fault").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"))
+
+
+@query("""select user_id, max(event_id) as last, coalesce(arg_max(event_type, event_id) filter (where event_type in ('purchase', 'error')), 'INTERRUPTED') as state
+from events group by user_id""")
+def interrupted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.interrupted(read(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type", ["purchase", "error"])
+
+
+@query("""select user_id, max(event_id) as applied_through, count(*) as n, count(*) filter (where event_type = 'purchase') as bought from events group by user_id""")
+def checkpoint_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals from a checkpoint over the even-numbered half of each user's log, and the tail: the same as over the whole log."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    counts = lambda df: df.groupBy("user_id").agg(F.max("event_id").alias("applied_through"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("bought"))
+    half = events.groupBy("user_id").agg(F.floor(F.avg("event_id")).alias("_half"))
+    mark = counts(events.join(half, "user_id").where("event_id <= _half"))
+    rest = journal.tail(mark, events, ["user_id"], "event_id")
+    return journal.resumed(mark, rest, ["user_id"], "event_id", counts(rest), ["n", "bought"])
+
+
+@query("""with m as (select user_id, event_id, event_type, case when event_type is not distinct from lag(event_type) over w and lag(event_id) over w is not null then 0 else 1 end as moved from events window w as (partition by user_id order by event_id))
+select user_id, event_id, event_type, cast(sum(moved) over (partition by user_id order by event_id) as bigint) as revision from m""")
+def profile_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.signature_revisions(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
+
+
+@query("select user_id, event_type, min(event_id) as event_id, arg_min(value, event_id) as value from events group by user_id, event_type")
+def operations_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.once(read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("""with recursive o as (select user_id, event_id, epoch(ts) as at, event_type <> 'error' as ok, row_number() over (partition by user_id order by ts, event_id) as i from events),
+f as (
+  select user_id, event_id, i, false as locked, case when ok then 0 else 1 end as fails, cast(-1 as double) as until from o where i = 1
+  union all
+  select o.user_id, o.event_id, o.i, o.at < f.until, case when o.at < f.until then f.fails when o.ok then 0 else f.fails + 1 end,
+         case when o.at >= f.until and not o.ok and f.fails + 1 >= 2 then o.at + 21600 else f.until end
+  from f join o on o.user_id = f.user_id and o.i = f.i + 1)
+select user_id, event_id, locked from f""")
+def failure_lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    tries = events.select("user_id", F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return journal.lockouts(tries, "user_id", seconds=21600.0, most=2).select("user_id", F.col("seq").alias("event_id"), "locked")
+
+
+_NUMBERED = "'^(?:[一二三四五六七八九十百]+[、.．]|[（(][一二三四五六七八九十百0-9]+[)）]|[0-9]+[、.．])'"
+
+
+@query("""with r as (select doc_id, [trim(x, ' ' || chr(9) || chr(11) || chr(12)) for x in string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))] as l from documents),
+c as (select doc_id, len([x for x in l if x <> '']) as n, len([x for x in l if regexp_matches(x, """ + _NUMBERED + """)]) as hits from r)
+select doc_id, hits >= 2 and 2 * hits >= n as numbered from c""")
+def numbered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", signals.is_numbered(F.col("text")).alias("numbered"))
+
+
+@query("""select doc_id, case when n = 0 then 0.0 when n = 1 then 100.0 else (rank - 1) * 100.0 / (n - 1) end as percent
+from (select doc_id, row_number() over (partition by source order by doc_id) as rank, count(*) over (partition by source) as n from documents)""")
+def reading_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("source")
+    placed = read(spark, sf_dir, "documents").select("doc_id", F.row_number().over(by.orderBy("doc_id")).alias("rank"), F.count("*").over(by).alias("n"))
+    return placed.select("doc_id", signals.reading_percent(F.col("rank"), F.col("n")).alias("percent"))
+
+
+@query("""with p as (select doc_id, source, row_number() over (partition by source order by doc_id) as page from documents)
+select source, page, case when page >= 7 then page - 7 else 10 + 7 - page end as priority from p where abs(page - 7) <= 5""")
+def prefetch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    given = read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), page.alias("page_number"), F.lit("READY").alias("status"), F.lit(0).alias("revision"))
+    return signals.prefetch(given, F.lit(7)).select(F.col("book_id").alias("source"), F.col("page_number").cast("long").alias("page"), F.col("priority").cast("long").alias("priority"))
+
+
+@query("""with w as (select user_id, k, lag(lower(event_type)) over (partition by user_id order by event_id) as a, event_type as b, event_id from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events)),
+x as (select event_id, a, b, list_max(list_concat([0], [i for i in range(1, least(length(a), length(b)) + 1) if left(a, i) = left(b, i)])) as l from w where a is not null),
+y as (select event_id, a, b, l, list_max(list_concat([0], [i for i in range(1, least(length(a), length(b)) - l + 1) if right(a, i) = right(b, i)])) as r from x)
+select event_id, case when length(a) - l - r > 0 and length(b) - l - r > 0 then substr(b, l + 1, length(b) - l - r) else b end as focus from y""")
+def focused_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    pairs = read(spark, sf_dir, "events").select("event_id", before.alias("a"), F.col("event_type").alias("b")).where("a is not null")
+    return pairs.select("event_id", signals.focus(F.col("a"), F.col("b"))["focus"].alias("focus"))
