@@ -23,6 +23,7 @@ UNREADABLE = r"\x{FFFD}+|\x{25A1}+|\x{FFFC}+"
 NEGATIONS = "不未非无無莫勿否别別没沒弗毋"
 VISUAL = ("figure", "table", "formula")
 TEXTUAL = ("text", "heading", "caption")
+SPAN_SOURCE, STRUCTURED_SOURCES = "paddle-span", ("qwen-toc-recovery", "paddle-span")
 
 
 def _with(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -72,7 +73,7 @@ def is_contents(text: Column) -> Column:
 def keeps_lines(b: Column) -> Column:
     """Whether a block's line breaks are its structure: visuals, recovered contents, numbered, parallel and contents lines."""
     structural = lambda t: F.coalesce(is_numbered(t) | is_parallel(t, b["writing_mode"]) | is_contents(t), F.lit(False))
-    given = b["type"].isin(*VISUAL) | b["source"].startswith("qwen-toc-recovery") | b["source"].startswith("paddle-span")
+    given = b["type"].isin(*VISUAL) | b["source"].rlike("^(?:" + "|".join(STRUCTURED_SOURCES) + ")")
     return F.coalesce(given, F.lit(False)) | structural(b["original"]) | structural(b["simplified"])
 
 
@@ -120,7 +121,7 @@ def contents_candidate(blocks: Column) -> Column:
     n = lambda pattern: F.regexp_count(text, F.lit(pattern))
     folios = F.size(F.filter(blocks, lambda x: x["type"] == "page-number"))
     shown = F.struct(_visible(text).alias("chars"), (n(PAGE_TOKEN) + folios).alias("numbers"), n(ELLIPSIS).alias("leaders"), n(SENTENCE_END).alias("sentences"))
-    return F.coalesce(F.exists(blocks, lambda x: F.coalesce(x["source"].startswith("paddle-span"), F.lit(False))) | _with(shown, judged), F.lit(False))
+    return F.coalesce(F.exists(blocks, lambda x: F.coalesce(x["source"].startswith(SPAN_SOURCE), F.lit(False))) | _with(shown, judged), F.lit(False))
 
 
 def awaits_window(status: Column, reviewed: Column, provider: Column, blocks: Column) -> Column:
