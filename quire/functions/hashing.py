@@ -29,3 +29,21 @@ def name_uuid(name: Column) -> Column:
     h = F.md5(name)
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1), F.lit(1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def page_content(page: Column, fields: list[str]) -> Column:
+    """Identity of a page by ``fields``; commit numbers and format versions should not be among them."""
+    return F.sha2(F.to_json(F.struct(*[page[f].alias(f) for f in fields]), {"ignoreNullFields": "false"}), 256)
+
+
+def issue_basis(block: Column, issue: Column, version: int = 1) -> Column:
+    """Identity of what a decision on an issue rests on; null where its place is not in the text."""
+    text, start, end = block["original"], issue["start"], issue["end"]
+    quote = F.substring(text, start + 1, end - start)
+    sound = (start >= 0) & (end > start) & (end <= F.length(text))
+    return F.when(sound, identity(block["id"], issue["id"], issue["kind"], start, end, quote, issue["resolved"], issue["replacement"], F.lit(version)))
+
+
+def block_source(block: Column) -> Column:
+    """Identity of a block's texts and sources."""
+    return identity(block["original"], block["simplified"], F.to_json(block["source_ids"]))

@@ -20,6 +20,9 @@ PAGE_TOKEN = r"[0-9]{1,5}|[〇○零一二三四五六七八九十百千兩两
 ELLIPSIS = r"…{2,}|\.{3,}|．{3,}"
 SENTENCE_END = r"[。！？!?]"
 UNREADABLE = r"\x{FFFD}+|\x{25A1}+|\x{FFFC}+"
+CLOSING = "[”’」』】）》〕〉\"']*$"
+ENDS, GOES_ON, CONTINUES = "[。！？!?；;：:.…]" + CLOSING, "[，、,]" + CLOSING, "^[，、,]"
+LIST_ITEM, LABEL = r"^(?:[一二三四五六七八九十百]+[、.．]|[（(][一二三四五六七八九十百0-9]+[)）]|\d+[、.．]|[•▪◦●○-]\s)", r"^[^\n：:]{1,12}[：:]"
 NEGATIONS = "不未非无無莫勿否别別没沒弗毋"
 VISUAL = ("figure", "table", "formula")
 TEXTUAL = ("text", "heading", "caption")
@@ -242,3 +245,21 @@ def accepted_findings(findings: DataFrame, slices: DataFrame) -> DataFrame:
     placed = both.withColumn("_at", at).withColumn("complete", F.bool_and(F.col("_at").isNotNull()).over(Window.partitionBy("call")))
     begin = F.col("offset") + F.col("_at")
     return placed.where(F.col("_at").isNotNull()).select("call", "block", begin.alias("start"), (begin + F.length(quote)).alias("end"), "reason", F.when((F.trim("inferred") != "") & (F.col("inferred") != quote), F.col("inferred")).alias("inferred"), "complete")
+
+
+def continues(before: Column, after: Column) -> Column:
+    """Whether the text block ``after`` goes on with the sentence of ``before``, by its marks or from the right half to the left one."""
+    a, b = F.trim(before["original"]), F.trim(after["original"])
+    plain = (before["type"] == "text") & (after["type"] == "text") & ~keeps_lines(before) & ~keeps_lines(after) & (a != "") & (b != "")
+    apart = a.rlike(r"\n\s*\n") | b.rlike(r"\n\s*\n") | b.rlike(LIST_ITEM) | b.rlike(LABEL) | a.rlike(ENDS)
+    centre = lambda x: x["bbox"]["x"] + x["bbox"]["w"] / 2
+    turned = (before["writing_mode"] == "vertical-rl") & (after["writing_mode"] == "vertical-rl") & (centre(before) >= 0.5) & (centre(after) < 0.5)
+    return F.coalesce(plain & ~apart & (a.rlike(GOES_ON) | b.rlike(CONTINUES) | F.coalesce(turned, F.lit(False))), F.lit(False))
+
+
+def paragraphs(blocks: DataFrame) -> DataFrame:
+    """``blocks(page, block)`` -> ``page, id, paragraph``: numbers from 0, a new one where a block does not go on with the one before."""
+    line = Window.partitionBy("page").orderBy("block.order", "block.id")
+    marked = blocks.withColumn("_before", F.lag("block").over(line))
+    marked = marked.withColumn("_new", F.when(continues(F.col("_before"), F.col("block")), 0).otherwise(1))
+    return marked.select("page", F.col("block.id").alias("id"), (F.sum("_new").over(line) - 1).alias("paragraph"))
