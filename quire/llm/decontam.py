@@ -1,10 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so that a benchmark question asked with other values still has
-the same words. Every window of ``SPAN`` canonical words of an item is joined by hash with the windows that start
-at each ``STEP``-th word of a document, so that a shared passage of ``SPAN + STEP - 1`` words has a window in common
-wherever it stands. Windows that agree on the item and the offset count together when their slots are consistent:
-one value of the item stands for one value in the document.
+the same words. Every window of ``SPAN`` canonical words of an item is joined by hash with every window of a document;
+an item of fewer words is one window of its own length. Windows that agree on the item and the offset count together
+when their slots are consistent: one value of the item stands for one value in the document.
 """
 
 from __future__ import annotations
@@ -14,7 +13,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.rules import _let
 
-SPAN, STEP = 8, 5
+SPAN = 8
+#: Words in common that are a leak of any item, and words of an item from which on that many are needed.
+ENOUGH, LONG = 12, 22
 #: Windows of the benchmark up to which they are broadcast; beyond, both sides are shuffled by hash.
 BROADCAST_ROWS = 400_000
 _SLOT = "ǂ"
@@ -36,13 +37,16 @@ def _masked(text: Column) -> Column:
     return F.when(F.contains(out, F.lit(_SLOT + "num")), F.regexp_replace(out, rf"(?<={_SLOT}num )(?:{units})(?=[\x20\x09-\x0D.,;:!?)]|$)", _SLOT + "unit")).otherwise(out)
 
 
-def _windows(text: Column, step: int) -> Column:
-    """Position, hash, placeholders and plain words of each ``step``-th window."""
+def _hashed(text: Column, sizes: list[int]) -> Column:
+    """Canonical words ``c``, plain words ``r`` and, for each size, the hashes ``h`` of the windows at every word."""
+
+    def hashes(x: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(x["c"]) - (size - 1))
+        return F.when(F.size(x["c"]) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(x["c"], i, F.lit(size)))))
 
     def cut(x: Column) -> Column:
-        n = F.size(x["c"])
-        window = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(x["c"], i, F.lit(SPAN))).alias("h"), F.slice(x["c"], i, F.lit(SPAN)).alias("c"), F.slice(x["r"], i, F.lit(SPAN)).alias("r"))
-        return F.when((n >= SPAN) & (n == F.size(x["r"])), F.transform(F.sequence(F.lit(1), n - (SPAN - 1), F.lit(step)), window))
+        by_size = F.array(*[F.struct(F.lit(k).alias("k"), hashes(x, k).alias("h")) for k in sizes])
+        return F.when(F.size(x["c"]) == F.size(x["r"]), F.struct(x["c"].alias("c"), x["r"].alias("r"), by_size.alias("by")))
 
     def both(masked: Column) -> Column:
         # without placeholders the two word lists are one
@@ -51,33 +55,79 @@ def _windows(text: Column, step: int) -> Column:
     return _let(_let(_masked(text), both), cut)
 
 
+def _windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """``key``, the words, and size ``k``, place ``pos`` (from 1) and hash ``h`` of each window."""
+    # explode_outer: for explode, the optimizer adds a filter that makes the words a second time
+    each = rows.select(key, _hashed(F.col("text"), sizes).alias("x")).select(key, "x.c", "x.r", F.explode_outer("x.by").alias("y"))
+    each = each.select(key, "c", "r", F.col("y.k").alias("k"), F.posexplode("y.h").alias("p", "h"))
+    return each.select(key, "c", "r", "k", (F.col("p") + 1).alias("pos"), "h")
+
+
+def _sliced(windows: DataFrame, key: list[str]) -> DataFrame:
+    """The words of each window alone, and the plain words before and after it."""
+    beside = [F.get("r", F.col("pos") - 2).alias("prev"), F.get("r", F.col("pos") + F.col("k") - 1).alias("next")]
+    return windows.select(*key, "k", "pos", "h", *[F.slice(w, F.col("pos"), F.col("k")).alias(w) for w in "cr"], *beside)
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Windows of the items, and their sizes: ``SPAN``, and below it those that an item has as a whole."""
+    texts = benchmark.select(F.col("item_id").alias("item"), "text").where("item is not null and text is not null")
+    sized = texts.withColumn("words", F.size(_split(F.col("text")))).where("words > 0")
+    short = sized.where(F.col("words") < SPAN).select("words").distinct().collect()  # SPAN - 1 at most
+    sizes = [SPAN, *sorted(r["words"] for r in short)]
+    # in a document the first word can stand after a small letter, which makes a capital a name
+    inside = sized.withColumn("text", F.concat(F.lit("a "), F.col("text"))).withColumn("first", F.lit(2))
+    sized = sized.withColumn("first", F.lit(1)).unionByName(inside).withColumn("id", F.struct("item", "words", "first"))
+    found = _sliced(_windows(sized, "id", sizes), ["id"]).select("id.*", "k", "pos", "h", "c", "r", "prev", "next")
+    found = found.where((F.col("k") == F.least(F.lit(SPAN), F.col("words"))) & ((F.col("first") == 1) | (F.col("pos") == 2)))
+    place = F.col("pos") - F.col("first") + 1
+    before = F.when(place > 1, F.col("prev"))
+    bare = ~F.exists("c", lambda w: ~F.startswith(w, F.lit(_SLOT)))
+    names = [F.col("c").alias("ic"), F.col("r").alias("ir"), before.alias("iprev"), F.col("next").alias("inext"), bare.alias("bare")]
+    return found.select("item", "words", place.alias("ipos"), "h", *names).distinct(), sizes
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_words, first_word)``: each document and item it holds a passage of.
 
-    An item counts where two windows agree at one offset, ``n_words`` words in all; one is enough if the item has under
-    22 words, since what stands around a copy may change the form of its first and last words; ``first_word`` is the place of the first, from 0. Null ``doc_id`` or ``item_id`` and null or short texts
-    (under ``SPAN`` words) give no row. Repeated rows count once; an empty table on either side gives an empty one.
-    Other columns are not read. The benchmark is broadcast up to a checked number of windows.
+    An item counts where the windows that agree at one offset cover ``ENOUGH`` words; one window is enough if the item
+    has under ``LONG`` words, since what stands around a copy may change the form of its first and last words, and an
+    item under ``SPAN`` words has one window, the whole of it. A window of placeholders alone counts only with the
+    item's own words. ``n_words`` is the most words covered at one offset, ``first_word`` the place of the first, from
+    0. Null ``doc_id`` or ``item_id`` and null texts give no row. Repeated rows count once; an empty table on either
+    side gives an empty one. Other columns are not read. The benchmark is broadcast up to a checked number of windows.
     """
-    items = benchmark.select(F.col("item_id").alias("item"), "text").where("item is not null and text is not null")
-    items = items.select("item", F.posexplode(_windows(F.col("text"), 1)).alias("p", "x")).select("item", F.col("x.pos").alias("ipos"), F.col("x.h").alias("h"), F.col("x.c").alias("ic"), F.col("x.r").alias("ir"))
-    longest = items.groupBy("item").agg((F.max("ipos") + (SPAN - 1)).alias("words"))
+    items, sizes = _items(benchmark)
     small = items.count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda x: x)
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null and text is not null")
-    found = texts.select("doc", F.explode(_windows(F.col("text"), STEP)).alias("x")).select("doc", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.c").alias("c"), F.col("x.r").alias("r"))
-    hits = found.join(side(items), "h").where(F.col("c") == F.col("ic"))
-    slots = F.expr(f"transform(filter(sequence(0, {SPAN - 1}), i -> startswith(c[i], '{_SLOT}')), i -> struct(ir[i] as a, r[i] as b))")
-    hits = hits.select("doc", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "pos", slots.alias("slots")).distinct()
-    runs = hits.groupBy("doc", "item", "shift").agg(
-        F.count("*").alias("n_windows"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+    found = _windows(texts, "doc", sizes)
+    # After a broadcast, the words are cut out for hits alone. Explode, join and cut are compiled as one up to the
+    # distinct, so that no row holds a whole text; functions with a lambda would part them.
+    if small:
+        hits = found.join(F.broadcast(items), "h")
+        hits = _sliced(hits, ["doc", *[c for c in items.columns if c != "h"]])
+    else:
+        hits = _sliced(found, ["doc"]).join(items, "h")
+    # an equality would become a join key, to be cut out of every window
+    hits = hits.where((F.col("c") <= F.col("ic")) & (F.col("c") >= F.col("ic")) & (~F.col("bare") | (F.col("r") == F.col("ir"))))
+    same = [F.coalesce(F.col(x) == F.col(f"i{x}"), F.lit(False)).cast("int").alias(x) for x in ("prev", "next")]
+    hits = hits.select("doc", "item", "words", "k", (F.col("pos") - F.col("ipos")).alias("shift"), "pos", "c", "r", "ir", *same).distinct()
+    slots = F.expr(f"transform(filter(sequence(0, k - 1), i -> startswith(c[i], '{_SLOT}')), i -> struct(ir[i] as a, r[i] as b))")
+    hits = hits.select("doc", "item", "words", "k", "shift", "pos", slots.alias("slots"), "prev", "next")
+    runs = hits.groupBy("doc", "item", "words", "k", "shift").agg(
+        F.sort_array(F.collect_set("pos")).alias("at"),
+        # a word at either end may be the same in another form
+        (F.min(F.struct("pos", -F.col("prev")))["col2"] * -1 + F.max(F.struct("pos", "next"))["next"]).alias("beside"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs"),
     )
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    need = F.least(F.lit(2), F.greatest(F.lit(1), F.floor((F.col("words") - (SPAN + 2 * STEP - 1)) / STEP) + 1))
-    good = runs.where(consistent).join(side(longest), "item").where(F.col("n_windows") >= need)
-    words = F.least(F.col("hi") - F.col("lo") + SPAN, F.col("n_windows") * SPAN)
-    return good.groupBy("doc", "item").agg(F.sum("n_windows").alias("n_windows"), F.max(words).cast("long").alias("n_words"), (F.min("lo") - 1).cast("long").alias("first_word")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_words", "first_word")
+    steps = F.expr("transform(sequence(1, size(at)), i -> least(k, coalesce(get(at, i) - at[i - 1], k)))")
+    covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + F.col("beside")
+    need = F.when(F.col("words") < LONG, F.col("k")).otherwise(F.lit(ENOUGH))
+    good = runs.where(consistent).withColumn("n", covered).where(F.col("n") >= need)
+    return good.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.sum(F.size("at").cast("long")).alias("n_windows"), F.max("n").cast("long").alias("n_words"), (F.min(F.col("at")[0]) - 1).cast("long").alias("first_word")
+    )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -226,6 +226,23 @@ def test_decontamination(spark, odd):
     assert decontam.decontaminated(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_at_every_alignment(spark):
+    rng = random.Random(12)
+    lengths = [3, 7, 8, 9, 10, 11, 12, 21, 22, 45]
+    items = {n: prose(rng, n) for n in lengths} | {100: "What is the name of that old blue boat"}
+    bench = spark.createDataFrame([(n, t) for n, t in items.items()], "item_id long, text string")
+    texts, want = [], set()
+    for lead in range(6):
+        for n, t in items.items():
+            w = t.split()
+            begin = rng.randrange(len(w) - 11) if len(w) >= 12 else 0
+            want.add((len(texts), n))
+            texts.append(f"{prose(rng, 20 + lead)} {' '.join(w[begin : begin + 12])} {prose(rng, 9)}")
+    texts += [f"{prose(rng, 9)} {' '.join(items[45].split()[3:14])} {prose(rng, 9)}", " ".join(items[7].split()[:6])]
+    got = decontam.leaks(rows(spark, *texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def brute_mix(data):
     size = {i: len(WORD.findall(t or "")) for i, t, _ in data}
     by = {}
