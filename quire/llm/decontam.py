@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so that a benchmark question asked with other values still has
 the same words. Every window of ``SPAN`` canonical words of an item is joined by hash with every window of a document;
 an item of fewer words is one window of its own length. Windows that agree on the item and the offset count together
-when their slots are consistent: one value of the item stands for one value in the document.
+when their slots are consistent: one value of the item stands for one value in the document. Windows with the item's
+own values are not asked for that, and count alone where the others are not consistent.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def _hashed(text: Column, sizes: list[int]) -> Column:
 
 def _windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     """``key``, the words, and size ``k``, place ``pos`` (from 1) and hash ``h`` of each window."""
-    # explode_outer: for explode, the optimizer adds a filter that makes the words a second time
+    # explode_outer: for explode, the optimizer adds a filter on the words (one that it infers from the join is left)
     each = rows.select(key, _hashed(F.col("text"), sizes).alias("x")).select(key, "x.c", "x.r", F.explode_outer("x.by").alias("y"))
     each = each.select(key, "c", "r", F.col("y.k").alias("k"), F.posexplode("y.h").alias("p", "h"))
     return each.select(key, "c", "r", "k", (F.col("p") + 1).alias("pos"), "h")
@@ -113,18 +114,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = [F.coalesce(F.col(x) == F.col(f"i{x}"), F.lit(False)).cast("int").alias(x) for x in ("prev", "next")]
     hits = hits.select("doc", "item", "words", "k", (F.col("pos") - F.col("ipos")).alias("shift"), "pos", "c", "r", "ir", *same).distinct()
     slots = F.expr(f"transform(filter(sequence(0, k - 1), i -> startswith(c[i], '{_SLOT}')), i -> struct(ir[i] as a, r[i] as b))")
-    hits = hits.select("doc", "item", "words", "k", "shift", "pos", slots.alias("slots"), "prev", "next")
+    hits = hits.select("doc", "item", "words", "k", "shift", "pos", slots.alias("slots"), (F.col("r") == F.col("ir")).alias("own"), "prev", "next")
+    # a word at either end may be the same in another form
+    ends = lambda x: F.min(F.when(x, F.struct("pos", (-F.col("prev")).alias("no"))))["no"] * -1 + F.max(F.when(x, F.struct("pos", "next")))["next"]
+    places = lambda x: F.struct(F.sort_array(F.collect_set(F.when(x, F.col("pos")))).alias("at"), ends(x).alias("beside"))
     runs = hits.groupBy("doc", "item", "words", "k", "shift").agg(
-        F.sort_array(F.collect_set("pos")).alias("at"),
-        # a word at either end may be the same in another form
-        (F.min(F.struct("pos", -F.col("prev")))["col2"] * -1 + F.max(F.struct("pos", "next"))["next"]).alias("beside"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs"),
+        places(F.lit(True)).alias("any"), places(F.col("own")).alias("own"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("own"), F.col("slots"))))).alias("pairs"),
     )
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
+    runs = runs.withColumn("consistent", consistent).withColumn("use", F.when(F.col("consistent"), F.col("any")).otherwise(F.col("own")))
+    runs = runs.select("doc", "item", "words", "k", "consistent", "use.*").where(F.size("at") > 0)
     steps = F.expr("transform(sequence(1, size(at)), i -> least(k, coalesce(get(at, i) - at[i - 1], k)))")
     covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + F.col("beside")
-    need = F.when(F.col("words") < LONG, F.col("k")).otherwise(F.lit(ENOUGH))
-    good = runs.where(consistent).withColumn("n", covered).where(F.col("n") >= need)
+    need = F.when(F.col("consistent") & (F.col("words") < LONG), F.col("k")).otherwise(F.least(F.lit(ENOUGH), F.col("words")))
+    good = runs.withColumn("n", covered).where(F.col("n") >= need)
     return good.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.sum(F.size("at").cast("long")).alias("n_windows"), F.max("n").cast("long").alias("n_words"), (F.min(F.col("at")[0]) - 1).cast("long").alias("first_word")
     )

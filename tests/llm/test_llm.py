@@ -243,6 +243,15 @@ def test_decontamination_at_every_alignment(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
 
 
+def test_decontamination_of_a_copy_with_one_value_changed(spark):
+    rng = random.Random(13)
+    start, end = prose(rng, 20), prose(rng, 20)
+    bench = spark.createDataFrame([(1, f"{start} 5 and 5 {end}")], "item_id long, text string")
+    far = " ".join(end.split()[:9])
+    texts = [f"{start} 5 and 6 {end}", f"{start} 5 and 5 {end}", f"{start} 8 and 8 {end}", f"{prose(rng, 9)} 5 and 6 {far} {prose(rng, 9)}"]
+    assert [r["doc_id"] for r in decontam.leaks(rows(spark, *texts), bench).orderBy("doc_id").collect()] == [0, 1, 2]
+
+
 def brute_mix(data):
     size = {i: len(WORD.findall(t or "")) for i, t, _ in data}
     by = {}
