@@ -12,9 +12,14 @@ Word shingles under the Jaccard distance are a metric space, joined in regions a
    parts, which keeps regions small and loses nothing.
 2. *Pivots within regions.* Each region takes a pivot document, every other one is compared with it exactly,
    and linked ones join its cell. Pairs of one cell need no further test, and most regions are one cell.
-3. *Recursion.* The other regions are gathered into groups that have no region in common. In a group every
-   document outside the largest cell is a pivot, compared exactly with all documents of the group, block by
-   block; again only what connects two cells is kept.
+3. *Recursion.* The other regions are gathered into groups that have no region in common; there distances do vary.
+   A group of more than ``BLOCK`` shingles is split among pivots into Voronoi regions: a document goes to its nearest
+   pivot and, by the triangle inequality, to every pivot that is at most twice the radius farther, so that two linked
+   documents share a region. Documents ``HOME`` or farther from every pivot have a region of their own, and one farther
+   than ``HOME`` plus the radius from a pivot cannot link into its region. Regions are split again while that makes them
+   smaller. In what is left every document
+   outside the largest cell is compared exactly with all documents of the region, block by block; only what connects
+   two cells is kept.
 
 Sizes rule out pairs before a comparison. No pairs of a group are enumerated as rows, a region of any size is
 streamed from sorted shuffle partitions, and a group of any size is dealt into blocks.
@@ -29,15 +34,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.tables import written
+from quire.llm.tables import free_name, id_key, is_whole, mapped, written
 from quire.llm.tokens import distinct_sets, mix, pieces, shingles, words
 
-#: Shingles in a block of a group.
-BLOCK = 150_000
+#: Shingles in a block of a group, pivots of a split, and levels of recursion.
+BLOCK, PIVOTS, DEPTH = 150_000, 16, 6
+#: Distance from which on a document does not belong to a pivot.
+HOME = 0.5
 #: Cells of the sketch of shingle counts, and the pieces in which it is added up.
 CELLS, SEGMENTS = 1 << 20, 64
 
@@ -115,7 +122,7 @@ def frequent_cells(docs: DataFrame, k: int) -> np.ndarray:
 
     Counts cover all documents; the sketch has the same size whatever their number, and it is added up in two steps.
     """
-    parts = docs.mapInArrow(_counts(k), "segment int, packed binary").withColumn("salt", F.pmod(F.xxhash64("packed"), F.lit(16)))
+    parts = mapped(docs, _counts(k), "segment int, packed binary").withColumn("salt", F.pmod(F.xxhash64("packed"), F.lit(16)))
     for keys in (["segment", "salt"], ["segment"]):
         parts = parts.groupBy(*keys).applyInArrow(_added, "segment int, packed binary")
     rows = sorted(parts.select("segment", "packed").collect())
@@ -185,12 +192,10 @@ def _set_rows(k: int):
 
 
 def _set_sizes(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, _, _, at in _sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(np.diff(at).astype(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(np.diff(at).astype(np.int64))], names=["doc_id", "n_shingles"])
 
     return run
 
@@ -261,15 +266,56 @@ def _blocks(percent: int):
     return run
 
 
+def _regions(docs: DataFrame, percent: int) -> DataFrame:
+    """``docs(g, id, cell, shingles)`` with each large group ``g`` split into Voronoi regions around pivots, recursively.
+
+    A split is kept where its largest region has at most three quarters of the group's shingles and all its regions
+    at most twice; a group that pivots do not part stays whole. Groups of a single cell, already connected, are left out.
+    """
+    size = F.sum(F.size("shingles").cast("long"))
+    leaves, now = [], docs
+    for depth in range(DEPTH):
+        stat = now.groupBy("g").agg(size.alias("total"), F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo <> hi")
+        large = stat.where(F.col("total") > BLOCK).select("g", "total")
+        if large.isEmpty():
+            break
+        leaves.append(now.join(stat.where(F.col("total") <= BLOCK).select("g"), "g"))
+        mark = F.xxhash64("id", F.lit(depth))
+        big = now.join(large, "g").withColumn("mark", mark).withColumn("slot", F.pmod(F.xxhash64("mark"), F.lit(PIVOTS)))
+        heads = big.groupBy("g", "slot").agg(F.min("mark").alias("mark"))
+        heads = big.join(heads, ["g", "slot", "mark"]).groupBy("g", "slot").agg(F.first("shingles").alias("y"))  # copies of an id have one set
+        around = heads.groupBy("g").agg(F.collect_list(F.struct("slot", "y")).alias("pivots"))  # PIVOTS at most
+
+        def distance(p):
+            both = F.size(F.array_intersect("shingles", p["y"])).cast("double")
+            return F.struct((1 - both / (F.size("shingles") + F.size(p["y"]) - both)).alias("far"), p["slot"].alias("slot"))
+
+        far = big.join(around, "g").select("g", "total", "id", "cell", "shingles", F.transform("pivots", distance).alias("far"))
+        radius = (100 - percent) / 100 + 1e-9
+        near = F.filter("far", lambda x: (x["far"] < HOME + radius) & (x["far"] <= F.array_min("far")["far"] + 2 * radius))["slot"]
+        rest = F.when(F.array_min("far")["far"] >= HOME, F.array(F.lit(PIVOTS).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        to = F.explode(F.concat(near, rest)).alias("to")
+        dealt = written(far.select("g", "total", "id", "cell", "shingles", to).withColumn("to", F.xxhash64("g", F.lit(depth), "to")))
+        parts = dealt.groupBy("g", "total", "to").agg(size.alias("part"))
+        parted = parts.groupBy("g", "total").agg(F.max("part").alias("most"), F.sum("part").alias("all")).where("4 * most <= 3 * total and all <= 2 * total").select("g")
+        whole = large.join(parted, "g", "left_anti").select("g")
+        leaves.append(now.join(whole, "g"))
+        now = dealt.join(parted, "g").select(F.col("to").alias("g"), "id", "cell", "shingles")
+    for leaf in leaves:
+        now = now.unionByName(leaf)
+    return now
+
+
 def _group_links(left: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between documents of different cells of a group.
 
-    Documents outside a group's largest cell are pivots, each compared exactly with every document of the group
-    through an inverted index. Pivots and documents of a group are dealt into blocks of about ``BLOCK`` shingles, and
-    each pair of blocks is one piece of work, whatever the group's size. Of the links only a forest comes out.
+    Groups are split into regions first. Documents outside a region's largest cell are pivots, each compared exactly
+    with every document of the region through an inverted index. Pivots and documents of a region are dealt into blocks
+    of about ``BLOCK`` shingles, and each pair of blocks is one piece of work, whatever the region's size. Of the links
+    only a forest comes out.
     """
     docs = left.select("id", "cell").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")), "id").join(sets, "id")
-    docs = written(docs.select("g", "id", "cell", "shingles"))
+    docs = _regions(written(docs.select("g", "id", "cell", "shingles")), percent)
     by_cell = docs.groupBy("g", "cell").agg(F.count("*").alias("docs"), F.sum(F.size("shingles").cast("long")).alias("size"))
     stat = by_cell.groupBy("g").agg(F.max(F.struct("docs", "cell")).alias("top"), F.sum("size").alias("size"))
     parts = lambda: F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
@@ -279,36 +325,27 @@ def _group_links(left: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     pivots = docs.where("cell <> main").select("g", own.alias("p"), F.explode(every).alias("q"), F.lit(1).alias("pivot"), "id", "cell", "shingles")
     others = docs.select("g", F.explode(every).alias("p"), own.alias("q"), F.lit(0).alias("pivot"), "id", "cell", "shingles")
     dealt = pivots.unionByName(others).repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
-    return dealt.mapInArrow(_blocks(percent), "a long, b long")
+    return mapped(dealt, _blocks(percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, component_id)`` of documents with a link to another one.
 
     Two documents link when ``100 * intersection >= percent * union`` of their sets of ``k``-word shingles
-    (A-Z lower-cased; a shorter text is one shingle). Null and empty texts have no set and no link. Rows with
-    a null ``doc_id`` are left out; repeated ``doc_id`` rows count as one document with the union of their
-    links. Copies have distance 0 and link. Columns other than ``doc_id`` and ``text`` are not read. An empty
-    table gives an empty one. ``percent`` is 50 to 100.
+    (A-Z lower-cased; a shorter text is one shingle). Null and empty texts have no set and no link. A null
+    ``doc_id`` is no document to link with; repeated ``doc_id`` rows count as one document with the union of their
+    links. An id that is no whole number stands for its hash here. Copies have distance 0 and link. Columns other
+    than ``doc_id`` and ``text`` are not read. An empty table gives an empty one. ``percent`` is 50 to 100.
     """
     if not 50 <= percent <= 100 or k < 1:
         raise ValueError("percent must be 50 to 100 and k positive")
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    keys = docs.mapInArrow(_part_keys(k, percent, frequent_cells(docs, k)), "part long, id long, n int")
-    by_part = Window.partitionBy("part").orderBy("id")
-    regions = written(
-        keys.select(
-            "part", "id", "n",
-            F.lag("id").over(by_part).alias("before"),
-            F.lead("id").over(by_part).alias("after"),
-            F.first("id").over(by_part).alias("first"),
-            F.first("n").over(by_part).alias("first_n"),
-        )
-        .where("before <> first or after <> id or before < id")
-        .select("part", "id", "n", "first", "first_n")
-    )
+    docs = docs.select(id_key(docs).alias("id"), "text").where("id is not null and text is not null")
+    keys = mapped(docs, _part_keys(k, percent, frequent_cells(docs, k)), "part long, id long, n int")
+    # a part's first document comes from partial sums, and the join back can be split, so that a part may have any number of documents
+    first = keys.groupBy("part").agg(F.min(F.struct("id", "n")).alias("f"), F.max("id").alias("last")).where("f.id < last")
+    regions = written(keys.join(first.select("part", F.col("f.id").alias("first"), F.col("f.n").alias("first_n")), "part"))
     members = regions.select("id").distinct()
-    sets = written(docs.join(members, "id").mapInArrow(_set_rows(k), "id long, shingles array<long>"))
+    sets = written(mapped(docs.join(members, "id"), _set_rows(k), "id long, shingles array<long>"))
 
     near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     linked = (100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both")))
@@ -330,20 +367,30 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
 
 def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles`` (set size), ``component_id`` (smallest linked ``doc_id``).
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles`` (set size), ``component_id`` (smallest linked ``doc_id``).
 
-    Documents without links, or without words, are their own component. See ``jaccard_components`` for nulls,
-    ties, repeated rows and empty tables.
+    Documents without links, or without words, are their own component; a null ``doc_id`` has a null one. ``doc_id``
+    may have any type, and ``component_id`` has the same. See ``jaccard_components`` for ties, repeated rows and empty
+    tables.
     """
     found = jaccard_components(docs, k, percent)
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_set_sizes(k), "doc_id long, n_shingles long")
-    return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sizes = mapped(docs.select("doc_id", "text"), _set_sizes(k), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long")
+    if is_whole(docs.schema["doc_id"].dataType):
+        label = found.select("doc_id", "component_id")
+    else:  # from hashes back to ids
+        names = found.join(docs.select(id_key(docs).alias("key"), F.col("doc_id").alias("name")).distinct(), F.col("doc_id") == F.col("key"))
+        least = names.groupBy("component_id").agg(F.min("name").alias("least"))
+        label = names.join(least, "component_id").select(F.col("name").alias("doc_id"), F.col("least").alias("component_id"))
+    own = docs.schema["doc_id"].dataType
+    return sizes.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").cast(own).alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component kept, the one with the smallest ``doc_id``; columns unchanged.
 
-    Documents with a null ``doc_id``, or without words, are kept.
+    Where ids are no whole numbers, it is the one whose id has the smallest hash. Documents with a null ``doc_id``, or
+    without words, are kept.
     """
-    others = jaccard_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_other"))
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    other = free_name(docs, "_quire_other")
+    others = jaccard_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(other))
+    return docs.join(others, id_key(docs) == others[other], "left_anti")

@@ -3,7 +3,8 @@
 Every line of a text is labelled good or bad from its own features and those of the lines next to it. The chain
 is trained in numpy on a bounded sample of labelled documents whose lines inherit the document's label.
 Forward-backward marginals, weighted by line length, make the document's quality, which a logistic curve
-fitted on the same sample maps to the score.
+fitted on the same sample maps to the score. Of a long training document, runs of lines spread over its whole
+length are taken.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lexicon import STOP_WORDS
+from quire.llm.tables import arrow_column, id_key, mapped
 from quire.llm.tokens import _LANES, Piece, mix, pieces, spans_hash, words
 
 #: At most so many labelled documents, and lines of each, are fitted; nothing else is bounded.
-TRAIN_DOCS, TRAIN_LINES = 4000, 48
+TRAIN_DOCS, TRAIN_LINES, RUNS = 4000, 48, 4
 THRESHOLD = 0.7
 
 _CLASSES = {"symbol": b"#*$%&|<>{}[]\\^~@_=+/", "upper": bytes(range(65, 91)), "digit": b"0123456789", "shout": b"!?", "pipe": b"|", "stop": b".,;:"}
@@ -218,24 +220,34 @@ def fit(x: np.ndarray, first: np.ndarray, length: np.ndarray, label: np.ndarray,
     return model
 
 
+def _spread(n: int) -> np.ndarray:
+    """Up to ``TRAIN_LINES`` of ``n`` lines: all, or ``RUNS`` runs of neighbouring lines at equal distances."""
+    if n <= TRAIN_LINES:
+        return np.arange(n)
+    size = TRAIN_LINES // RUNS
+    return (np.linspace(0, n - size, RUNS).astype(np.int64)[:, None] + np.arange(size)).ravel()
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in pieces(batch.column(1)):
             got = lines_of(p)
-            for r in range(p.rows):
-                lo, hi = got.first[r], min(got.first[r + 1], got.first[r] + TRAIN_LINES)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(p.first + r, 1), pa.array([got.features[lo:hi].astype(np.float32).tobytes()]), pa.array([got.length[lo:hi].tobytes()])],
-                    names=["label", "x", "length"],
-                )
+            use = [got.first[r] + _spread(got.first[r + 1] - got.first[r]) for r in range(p.rows)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(p.first, p.rows), pa.array([got.features[u].astype(np.float32).tobytes() for u in use], pa.binary()), pa.array([got.length[u].tobytes() for u in use], pa.binary())],
+                names=["label", "x", "length"],
+            )
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2") -> Model:
-    """Fits on at most ``TRAIN_DOCS`` labelled documents outside ``held_out``, in the order of a hash of ``doc_id``."""
-    known = labels.where(f"doc_id is not null and quality in (0, 1) and not ({held_out})").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
-    picked = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
-    sample = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(F.broadcast(picked), "id").select("label", "text")
-    rows = sample.mapInArrow(_features, "label int, x binary, length binary").toPandas()
+    """Fits on at most ``TRAIN_DOCS`` labelled documents outside ``held_out``, in the order of a hash of ``doc_id``.
+
+    A document with both labels is not learnt from.
+    """
+    known = labels.where(f"doc_id is not null and quality in (0, 1) and not ({held_out})").select(id_key(labels).alias("id"), F.col("quality").cast("int").alias("label"))
+    picked = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
+    sample = docs.select(id_key(docs).alias("id"), "text").where("text is not null").join(F.broadcast(picked.select("id", "label")), "id").select("label", "text")
+    rows = mapped(sample, _features, "label int, x binary, length binary").toPandas()
     rows = rows.sort_values(["label", "x"], kind="stable")  # the order of partitions must not matter
     x = [np.frombuffer(b, np.float32).reshape(-1, 3 * N_OWN) for b in rows["x"]]
     first = np.concatenate([[0], np.cumsum([len(a) for a in x])]).astype(np.int64)
@@ -243,34 +255,28 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(cast(d
     return fit(np.vstack([np.zeros((0, 3 * N_OWN)), *x]).astype(np.float64), first, length, rows["label"].to_numpy(int))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``__q_score`` added; null and empty texts have 0."""
-    at = docs.columns.index("text")
+def score_column(docs: DataFrame, model: Model) -> Column:
+    """The score of ``text``; null and empty texts have 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [model.scores(lines_of(p)) for p in pieces(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *out]))], names=[*batch.schema.names, "__q_score"])
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(lines_of(p)) for p in pieces(text))]))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", `__q_score` double")
+    return arrow_column(docs.sparkSession, score, "double", F.col("text"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if score >= 0.7).
 
-    Scores come from the text alone. Null and empty texts score 0. Null or other labels than 0 and 1 are not
-    learnt from; without labels of both kinds the score says little but is defined. Repeated rows get equal
-    scores; an empty table gives an empty one; extra columns are not read.
+    Scores come from the text alone. Null and empty texts score 0. Null or other labels than 0 and 1, and documents
+    labelled both ways, are not learnt from; without labels of both kinds the score says little but is defined.
+    Repeated rows get equal scores; ``doc_id`` may have any type; an empty table gives an empty one; extra columns
+    are not read.
     """
-    model = train(docs, labels)
-    # only the id and the text reach the scorer
-    out = scored(docs.select(F.col("doc_id"), "text"), model)
+    out = docs.select("doc_id", score_column(docs, train(docs, labels)).alias("score"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), F.col("__q_score").alias("score"), (F.col("__q_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts; columns unchanged."""
-    out = scored(docs, train(docs, labels))
-    return out.where(F.col("__q_score") >= THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` that the classifier accepts; columns unchanged, whatever their names and types."""
+    return docs.where(score_column(docs, train(docs, labels)) >= THRESHOLD)

@@ -100,6 +100,50 @@ def test_jaccard_equals_brute_force(spark, k, percent):
     assert got == brute_components(dict(enumerate(texts)), k, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_in_recursive_regions(spark, monkeypatch, percent):
+    monkeypatch.setattr(jaccard, "BLOCK", 600)
+    rng = random.Random(8)
+    frame, texts = prose(rng, 60).split(), []
+    for _ in range(6):  # families that share a frame but do not link, of documents that do or do not
+        own = prose(rng, 70).split()
+        for edits in (0, 1, 2, 3, 4, 5, 6, 8, 10, 12):
+            w = frame + own
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            texts.append(" ".join(w))
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_join(rows(spark, *texts), 5, percent).collect()}
+    assert got == brute_components(dict(enumerate(texts)), 5, percent)
+
+
+def test_regions_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 500)
+    rng = random.Random(21)
+    sets = []
+    shared = [rng.randrange(10**9) for _ in range(15)]
+    for i in range(30):
+        base = [rng.randrange(10**9) for _ in range(40)] + shared[: i % 16]
+        for edits in (0, 1, 2, 3, 6):
+            sets.append(sorted(set(base[edits:] + [rng.randrange(10**9) for _ in range(edits)])))
+    df = spark.createDataFrame([(1, i, i, s) for i, s in enumerate(sets)], "g long, id long, cell long, shingles array<long>")
+    by = {}
+    for r in jaccard._regions(df, 80).collect():
+        by.setdefault(r["g"], set()).add(r["id"])
+    assert len(by) > 1
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(set(sets[a]) & set(sets[b]))
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            assert any({a, b} <= ids for ids in by.values())
+
+
+def test_jaccard_ids(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([("b", text), ("a", text), (None, text), ("c", "something else here"), ("b", None)], "doc_id string, text string")
+    got = jaccard.jaccard_join(df, 3, 90).collect()
+    assert sorted(((r[0] or "", r[1], r[2] or "") for r in got)) == [("", 5, ""), ("a", 5, "a"), ("b", 0, "a"), ("b", 5, "a"), ("c", 1, "c")]
+    assert jaccard.near_duplicates_removed(df, 3, 90).count() in (3, 4)
+
+
 def test_jaccard_on_the_data(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_join(docs).collect()}
@@ -148,6 +192,27 @@ def test_lines_deduped_keeps_columns(spark, odd):
     assert len(out.where("doc_id = 5").first()["text"]) < 1000
 
 
+def clashing(df):
+    """Columns named as an operator may name its own, in any case, a struct with an odd field, textual ids."""
+    return (
+        df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))).withColumn("_QUIRE_key", F.lit(1)).withColumn("_quire_runs", F.lit(2)).withColumn("_quire_cut", F.lit(3))
+        .withColumn("score", F.lit("s")).withColumn("id", F.lit(4)).withColumn("a b`c", F.struct(F.lit(1).alias("x y"))).withColumn("_quire_other", F.lit(5))
+    )
+
+
+def test_stages_keep_odd_columns(spark, docs, labels):
+    some = clashing(docs.where("doc_id < 60"))
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    for f in (linededup.lines_deduped, jaccard.near_duplicates_removed, lambda d: quality.good_documents(d, labels), lambda d: decontam.decontaminated(d, bench)):
+        out = f(some)
+        assert out.columns == some.columns and out.schema["a b`c"] == some.schema["a b`c"] and 0 < out.count() <= some.count()
+
+
+def test_conflicting_labels_are_not_learnt(spark, docs, labels):
+    both = labels.withColumn("quality", 1 - F.col("quality")).unionByName(labels)
+    assert {r["predicted"] for r in quality.quality_scores(docs.limit(20), both).collect()} <= {0, 1}
+
+
 def test_quality(spark, docs, labels, odd):
     m = quality.quality_scores(docs, labels).join(labels, "doc_id").toPandas()
     assert (m.predicted == m.quality)[~m.held_out].mean() > 0.97 and (m.predicted == m.quality)[m.held_out].mean() > 0.9
