@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.decontam import decontaminated
 from quire.llm.jaccard import near_duplicates_removed
 from quire.llm.linededup import lines_deduped
 from quire.llm.mixing import mixed
 from quire.llm.quality import good_documents
+from quire.llm.rules import WORD
 from quire.llm.tables import read, written
 
 
@@ -18,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of passages are cut; every row stays."""
-    return lines_deduped(docs)
+    """Later repeats of passages are cut; a document of which no word is left goes."""
+    return lines_deduped(docs).where(F.col("text").rlike(WORD))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
