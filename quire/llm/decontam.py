@@ -12,13 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.rules import _let
+from quire.llm.rules import _let, window_hashes
+from quire.llm.tables import free_name
 
 SPAN = 8
 #: Words in common that are a leak of any item, and words of an item from which on that many are needed.
 ENOUGH, LONG = 12, 22
 #: Windows of the benchmark up to which they are broadcast; beyond, both sides are shuffled by hash.
 BROADCAST_ROWS = 400_000
+#: Windows of the benchmark up to which texts without any of them are passed over before their windows become rows.
+LISTED = 50_000
 _SLOT = "ǂ"
 #: Units of measure. Fixed values.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal ms s sec min h hr hrs hour hours day days week weeks month months year years km/h mph hz khz mhz ghz kb mb gb tb w kw mw v a k c f usd eur gbp dollars euros pounds percent degrees meters metres kilometers kilometres miles grams kilograms liters litres seconds minutes"
@@ -41,12 +44,8 @@ def _masked(text: Column) -> Column:
 def _hashed(text: Column, sizes: list[int]) -> Column:
     """Canonical words ``c``, plain words ``r`` and, for each size, the hashes ``h`` of the windows at every word."""
 
-    def hashes(x: Column, size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(x["c"]) - (size - 1))
-        return F.when(F.size(x["c"]) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(x["c"], i, F.lit(size)))))
-
     def cut(x: Column) -> Column:
-        by_size = F.array(*[F.struct(F.lit(k).alias("k"), hashes(x, k).alias("h")) for k in sizes])
+        by_size = F.array(*[F.struct(F.lit(k).alias("k"), window_hashes(x["c"], k).alias("h")) for k in sizes])
         return F.when(F.size(x["c"]) == F.size(x["r"]), F.struct(x["c"].alias("c"), x["r"].alias("r"), by_size.alias("by")))
 
     def both(masked: Column) -> Column:
@@ -101,6 +100,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items, sizes = _items(benchmark)
     small = items.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null and text is not null")
+    known = [r["h"] for r in items.select("h").distinct().limit(LISTED + 1).collect()] if small else []
+    if small and len(known) <= LISTED:
+        among = f"exists(filter(by, y -> y.h is not null), y -> exists(y.h, x -> x in ({', '.join(f'{h}L' for h in known) or 'null'})))"
+        texts = texts.withColumn("by", _hashed(F.col("text"), sizes)["by"]).where(F.expr(among)).select("doc", "text")
     found = _windows(texts, "doc", sizes)
     # After a broadcast, the words are cut out for hits alone. Explode, join and cut are compiled as one up to the
     # distinct, so that no row holds a whole text; functions with a lambda would part them.
@@ -136,5 +139,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage; columns unchanged."""
-    hit = leaks(docs, benchmark).select(F.col("doc_id").alias("__q_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["__q_hit"], "left_anti")
+    name = free_name(docs, "_quire_hit")
+    hit = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, docs["doc_id"] == hit[name], "left_anti")

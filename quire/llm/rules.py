@@ -47,9 +47,22 @@ def _covered(hashes: Column) -> Column:
     return F.when(full, F.lit(0)).otherwise(_let(_let(indexed, repeated), union))
 
 
-def _windows(words: Column) -> Column:
-    n = F.size(words)
-    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))).otherwise(F.expr("cast(array() as array<bigint>)"))
+def window_hashes(words: Column, size: int) -> Column:
+    """Hashes of the windows of ``size`` words at every word; null where there are fewer. Each word is hashed once."""
+
+    def paired(apart: int):
+        return lambda h: F.slice(F.zip_with(h, F.slice(h, apart + 1, F.size(h)), lambda a, b: F.xxhash64(a, b)), 1, F.size(h) - apart)
+
+    def of(h: Column) -> Column:
+        if size & (size - 1):
+            return F.transform(F.sequence(F.lit(1), F.size(h) - (size - 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(size))))
+        out, have = h, 1
+        while have < size:  # windows of twice the size from two that meet
+            out = _let(out, paired(have))
+            have *= 2
+        return out
+
+    return F.when(F.size(words) >= size, _let(F.transform(words, lambda w: F.xxhash64(w)), of))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -73,7 +86,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             (F.length("t") - drop("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_upper"),
             F.size(F.filter("w", lambda x: F.lower(x).isin(stop))).alias("n_stop"),
             _let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("new"))).alias("lines"),
-            _let(F.col("w"), lambda w: _let(_windows(w), _covered)).cast("long").alias("n_repeat_words"),
+            _let(F.coalesce(window_hashes(F.col("w"), WINDOW), F.expr("cast(array() as array<bigint>)")), _covered).cast("long").alias("n_repeat_words"),
         ).alias("c"),
     ).select("doc_id", "c.*")
     counted = counted.select("*", F.col("lines.all").alias("n_lines"), (F.col("lines.all") - F.col("lines.new")).cast("long").alias("n_dup_lines"))
