@@ -398,6 +398,22 @@ def test_mixing(spark, odd):
     assert mixing.mixed(rows(spark, None, "")).count() == 2
 
 
+def test_mixing_rates_solve_the_dual(spark):
+    rng = random.Random(14)
+    data = [(i, prose(rng, int(2 ** rng.uniform(0, 7 if i % 3 else 4))), f"s{i % 3}{'x' * (i % 5 == 0)}") for i in range(300)]
+    got = mixing.mixed(spark.createDataFrame(data, "doc_id long, text string, source string")).toPandas()
+    got["source"], got["z"] = [data[i][2] for i in got.doc_id], np.floor(np.log2(got["size"]))
+    excess, slopes = {}, []
+    for source, g in got.groupby("source"):
+        excess[source] = abs((g.rate * g["size"]).sum() - g.target.iloc[0])
+        inner = g[(g.rate < 2 - 1e-9) & (g.target < 2 * g.source_size - 1e-6)]
+        if inner.z.nunique() > 1:  # within a source the logarithm of the rate is a line over the length class
+            slopes += [(np.log(b) - np.log(a)) / (zb - za) for (za, a), (zb, b) in itertools.pairwise(inner.groupby("z").rate.first().items())]
+    assert max(excess.values()) < 1e-3 and slopes and np.ptp(slopes) < 1e-5 and abs(slopes[0]) > 1e-4
+    mean = lambda w: (got.z * w).sum() / w.sum()
+    assert mean(got.rate * got["size"]) == pytest.approx(mean(got["size"]), abs=1e-4) or abs(slopes[0]) == pytest.approx(mixing.STEEPEST)
+
+
 def test_rules(spark, odd):
     rng = random.Random(6)
     p = prose(rng, 12)
