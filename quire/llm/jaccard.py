@@ -34,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
@@ -341,9 +341,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         raise ValueError("percent must be 50 to 100 and k positive")
     docs = docs.select(id_key(docs).alias("id"), "text").where("id is not null and text is not null")
     keys = mapped(docs, _part_keys(k, percent, frequent_cells(docs, k)), "part long, id long, n int")
-    # a part's first document comes from partial sums, and the join back can be split, so that a part may have any number of documents
-    first = keys.groupBy("part").agg(F.min(F.struct("id", "n")).alias("f"), F.max("id").alias("last")).where("f.id < last")
-    regions = written(keys.join(first.select("part", F.col("f.id").alias("first"), F.col("f.n").alias("first_n")), "part"))
+    by_part = Window.partitionBy("part").orderBy("id")
+    regions = written(
+        keys.select(
+            "part", "id", "n",
+            F.lag("id").over(by_part).alias("before"),
+            F.lead("id").over(by_part).alias("after"),
+            F.first("id").over(by_part).alias("first"),
+            F.first("n").over(by_part).alias("first_n"),
+        )
+        .where("before <> first or after <> id or before < id")
+        .select("part", "id", "n", "first", "first_n")
+    )
     members = regions.select("id").distinct()
     sets = written(mapped(docs.join(members, "id"), _set_rows(k), "id long, shingles array<long>"))
 
