@@ -16,5 +16,6 @@ def fee(per_request: Column, input_rate: Column, output_rate: Column, tokens_in:
 
 
 def saturating_add(a: Column, b: Column) -> Column:
-    """Longs that stop at the largest one instead of overflowing."""
-    return F.coalesce(F.try_add(a, b), F.when(a.isNotNull() & b.isNotNull(), F.lit(2**63 - 1)))
+    """Longs that stop at the largest or the smallest one instead of overflowing."""
+    end = F.when(a > 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63 - 1)) - 1)
+    return F.coalesce(F.try_add(a, b), F.when(a.isNotNull() & b.isNotNull(), end))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters whose change in a candidate is a risk. Fixed values.
-RISKS = {"NEGATION": "[不未無无非勿毋否]|\\b(?:no|not|never)\\b", "NUMERIC": "[0-9一二三四五六七八九十百千万萬]", "SYMBOL": "[=+<>×÷±%]", "UNIT": "[尺寸丈里斤兩两度分秒]"}
+# Characters whose presence makes a changed text a risk. Fixed values.
+NEGATIONS = "不未非无莫勿否别没弗毋無沒微靡"
+NUMERALS = "〇零一二三四五六七八九十百千萬万億亿兩两壹贰貳叁肆伍陆陸柒捌玖拾佰仟"
+UNITS = "年月日時时分秒刻尺寸丈斤两兩钱錢升斗石里步亩畝页頁卷篇章节節"
+SYMBOLS = "，。、；：？！—…（）《》“”‘’,.;:?!-()[]"
+#: Kinds of candidates that are transcriptions. Fixed values.
+TRANSCRIPTIONS = ("NATIVE_TEXT", "PRIMARY_OCR", "CROP_OCR", "VISION_TRANSCRIPTION")
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -47,18 +52,59 @@ def candidates(found: DataFrame, by: list[str], text: str, kind: str, priority:
     return merged.withColumn("place", place).withColumn("dropped", F.col("place") > most).drop("rank")
 
 
-def risks(a: Column, b: Column) -> Column:
-    """Kinds of characters of which one text has other ones than the other, by name."""
-    found = lambda t, p: F.regexp_extract_all(F.lower(t), F.lit(f"({p})"), F.lit(1))
-    return F.array_compact(F.array(*[F.when(found(a, p) != found(b, p), name) for name, p in sorted(RISKS.items())]))
-
-
-def verdict(best: Column, second: Column, abstain: Column, risky: Column, sure: float = 0.9, gap: float = 0.2, doubt: float = 0.2) -> Column:
-    """The first rule that holds, from probabilities of the best and second candidate and of none."""
-    return (
-        F.when(best.isNull(), "NO_ANSWER").when(abstain > doubt, "NEED_MORE_EVIDENCE").when(best < sure, "LOW_PROBABILITY")
-        .when(best - F.coalesce(second, F.lit(0.0)) < gap, "CLOSE").when(risky, "HUMAN_REVIEW").otherwise("ACCEPT")
-    )
+def _holds(text: Column, characters: str) -> Column:
+    return text.rlike("[" + "".join("\\" + c if c in "[]()-" else c for c in characters) + "]")
+
+
+def risks(before: Column, after: Column) -> Column:
+    """Names of the kinds of characters that either of two different texts holds; equal texts have none, null is empty."""
+    a, b = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+    either = lambda f: (a != b) & (f(a) | f(b))
+    kinds = {
+        "NEGATION": lambda t: _holds(t, NEGATIONS), "NUMERIC": lambda t: t.rlike(r"\p{Nd}") | _holds(t, NUMERALS),
+        "SYMBOL": lambda t: _holds(t, SYMBOLS), "UNIT": lambda t: _holds(t, UNITS),
+    }
+    return F.array_compact(F.array(*[F.when(either(f), name) for name, f in kinds.items()]))
+
+
+def verdict(case: Column, sure: float = 0.9, margin: float = 0.2, doubt: float = 0.2) -> Column:
+    """``verdict, reason`` of a decision: the first rule that holds.
+
+    ``case``: cancelled, current, unavailable (why there is no answer, or null), answered, candidates (their number),
+    choice (NONE_SUPPORTED, NEED_MORE_EVIDENCE or a candidate's name; null is no choice), found (whether the choice names
+    a candidate), alignment, expanded_ok, kind and text of the chosen candidate, conflict, hard (names of hard risks),
+    now (the present text), calibrated, top, second (probabilities) and gap (that evidence is missing; null: not asked).
+    Risks come before thresholds.
+    """
+    delta = risks(case["now"], case["text"])
+    named = lambda names: F.array_join(F.transform(names, lambda r: F.concat(F.lit("HARD_RISK_"), r)), ",")
+    placed = (case["alignment"] == "EXACT") | ((case["alignment"] == "EXPANDED_SPAN") & case["expanded_ok"])
+    rules = [
+        (case["cancelled"], "CANCELLED", F.lit("CANCELLED_JOB")),
+        (~case["current"], "STALE", F.lit("STALE_SNAPSHOT")),
+        (case["unavailable"].isNotNull(), "UNAVAILABLE", F.concat(F.lit("UNAVAILABLE_"), case["unavailable"])),
+        (~case["answered"], "UNAVAILABLE", F.lit("UNAVAILABLE_PROTOCOL_ERROR")),
+        (case["candidates"] == 0, "HUMAN_REQUIRED", F.lit("NO_CANDIDATE")),
+        (case["choice"].isNull(), "UNAVAILABLE", F.lit("UNAVAILABLE_PROTOCOL_ERROR")),
+        (case["choice"] == "NONE_SUPPORTED", "NONE_SUPPORTED", F.lit("NONE_SUPPORTED")),
+        (case["choice"] == "NEED_MORE_EVIDENCE", "NEED_MORE_EVIDENCE", F.lit("NEED_MORE_EVIDENCE")),
+        (~case["found"], "UNAVAILABLE", F.lit("UNKNOWN_CANDIDATE")),
+        (~placed, "NEED_MORE_EVIDENCE", F.lit("LOCATION_AMBIGUOUS")),
+        (~case["kind"].isin(*TRANSCRIPTIONS) | case["text"].isNull(), "CANDIDATES_ONLY", F.lit("SEMANTIC_ONLY")),
+        (case["conflict"], "HUMAN_REQUIRED", F.lit("SOURCE_CONFLICT")),
+        (F.size(case["hard"]) > 0, "HUMAN_REQUIRED", named(case["hard"])),
+        (F.size(delta) > 0, "HUMAN_REQUIRED", named(delta)),
+        (~case["calibrated"], "CANDIDATES_ONLY", F.lit("UNCALIBRATED")),
+        (case["gap"] > doubt, "NEED_MORE_EVIDENCE", F.lit("EVIDENCE_GAP")),
+        ((case["top"] < sure) | (case["top"] - F.coalesce(case["second"], F.lit(0.0)) < margin), "CANDIDATES_ONLY", F.lit("LOW_SEPARATION")),
+        (case["text"] == case["now"], "KEEP_CURRENT", F.lit("KEEP_CURRENT")),
+    ]
+    result = lambda v, r: F.struct(F.lit(v).alias("verdict"), r.alias("reason"))
+    first = F.lit(None)
+    for holds, name, reason in reversed(rules):
+        otherwise = first if holds is not rules[-1][0] else result("RECOMMEND", F.lit("RECOMMEND"))
+        first = F.when(F.coalesce(holds, F.lit(False)), result(name, reason)).otherwise(otherwise)
+    return first
 
 
 def valid_choice(p: Column, keys: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 #: Stage weights of a work plan; they add up to 100. Fixed values.
 STAGES = {"OCR": 30, "STRUCTURE": 20, "REVIEW": 35, "VALIDATING": 10, "PUBLISHING": 5}
@@ -66,10 +70,28 @@ def budget(attempts: DataFrame, by: list[str]) -> DataFrame:
     return attempts.groupBy(*by).agg(F.sum(F.when(live, F.col("reserved"))).alias("reserved"), F.sum(F.when(F.col("state") == "REPORTED", F.coalesce("reported", "reserved"))).alias("reported"), F.count("*").alias("attempts"))
 
 
-def granted(claims: DataFrame, by: list[str], order: list[str], amount: str, limit: int) -> DataFrame:
-    """Claims whose running sum stays within ``limit``."""
-    run = F.sum(amount).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return claims.withColumn("running", run).withColumn("granted", F.col("running") <= limit)
+def granted(claims: DataFrame, by: str, order: str, limit: int) -> DataFrame:
+    """``claims(by, order, refund)`` with ``remaining`` and ``granted``: each claim takes one of ``limit``, unless none is left.
+
+    A refused claim takes nothing, a refund gives one back, to ``limit`` at most; it is granted where it does. Rows pass
+    in order, so a key's state is one number, whatever its size.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, left = None, limit
+        for frame in frames:
+            rest, done = [], []
+            for k, refund in zip(frame[by], frame["refund"], strict=True):
+                if k != key:
+                    key, left = k, limit
+                ok = left < limit if refund else left > 0
+                left += (1 if refund else -1) * ok
+                rest.append(left)
+                done.append(bool(ok))
+            yield frame.assign(remaining=rest, granted=done)
+
+    rows = claims.select(by, order, "refund").repartition(by).sortWithinPartitions(by, order)
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("remaining", LongType()), StructField("granted", BooleanType())]))
 
 
 def percent(done: dict[str, tuple[Column, Column]], finished: Column, weights: dict[str, int] = STAGES) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +9,10 @@ from quire.functions import geometry as geo
 from quire.functions import hashing, money
 from quire.functions.text import contains_folded, markup_text, substituted
 from quire.operators import gates, journal, ledger, search, sequence, signals
+from quire.plans import operator_queries  # noqa: F401  its queries join the catalog
+from quire.plans.catalog import ORACLES, QUERIES, query  # noqa: F401
 from quire.sources.pages import in_ranges, page_ranges, read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 LINES = r"""
 with numbered as (
   select source, doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as block_no
@@ -59,9 +44,9 @@ def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LINES + "select doc_id, count(*) as hits from lines where contains(lower(text), 'ent') group by doc_id order by hits desc, doc_id limit 20")
 def search_docs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The anchor's postings are the matches of a three-letter query; only lines that have it are indexed."""
-    index = search.postings(_lines(spark, sf_dir).where(contains_folded(F.col("text"), "ent"))).where("gram = 'ent'")
-    return index.groupBy("doc_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(20)
+    """The postings of a three-letter anchor are the lines that hold it."""
+    hits = _lines(spark, sf_dir).where(contains_folded(F.col("text"), "ent"))
+    return hits.groupBy("doc_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(20)
 
 
 @query(LINES + """, grams as (
@@ -293,12 +278,6 @@ def attempts_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").where(F.col("event_type").startswith("p")).groupBy("user_id").agg(F.count("*").alias("attempts"))
 
 
-@query(JOURNAL + """, r as (select event_id, user_id, k, sum(k) over (partition by user_id order by event_id rows between unbounded preceding and current row) as running from log)
-select event_id, user_id, cast(running as bigint) as running, running <= 500 as granted from r""")
-def budget_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.granted(_log(spark, sf_dir), ["user_id"], ["event_id"], "k", 500).select("event_id", "user_id", "running", "granted")
-
-
 @query("""with c as (select user_id, count(*) filter (where event_type = 'view') as a, count(*) filter (where event_type = 'click') as b, count(*) filter (where event_type in ('click', 'error')) as t, count(*) as n from events group by user_id)
 select user_id, cast(least(99, 30 * least(a, 10) // 10 + case when t > 0 then 35 * b // t else 0 end + 20 * least(n, 100) // 100) as bigint) as percent from c""")
 def weighted_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,13 +421,6 @@ def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user_id", "text", F.size("kinds").cast("long").alias("kinds"), "place", "dropped")
 
 
-@query(JOURNAL + """select event_id, case when k / 100.0 is null then 'NO_ANSWER' when value / 100 > 0.2 then 'NEED_MORE_EVIDENCE' when k / 100.0 < 0.9 then 'LOW_PROBABILITY'
-  when k / 100.0 - value / 100 < 0.2 then 'CLOSE' when user_id % 3 = 0 then 'HUMAN_REVIEW' else 'ACCEPT' end as verdict from log""")
-def decision_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best, other = F.col("k") / 100, F.col("value") / 100
-    return _log(spark, sf_dir).select("event_id", gates.verdict(best, other, other, F.col("user_id") % 3 == 0).alias("verdict"))
-
-
 _CASES = "select lang, source, l.quality as truth, case when n_chars > 800 then 1 when n_chars > 400 then 0 end as picked, n_chars % 3 <> 0 as offered from documents join labels l using (doc_id)"
 _METRICS = """count(*) as cases, round(count(*) filter (where offered) / count(*), 6) as recall,
   round(count(*) filter (where offered and picked = truth) / nullif(count(*) filter (where offered and picked is not null), 0), 6) as accuracy,

@@ -99,8 +99,10 @@ def test_search_with_and_without_index(spark):
 
 
 def test_budget_and_progress(spark):
-    claims = spark.createDataFrame([("a", i, 1) for i in range(8)], "b string, i int, n int")
-    assert ledger.granted(claims, ["b"], ["i"], "n", 2).where("granted").count() == 2
+    kinds = [False, False, False, True, False, False, True, True, True, False]  # refunds
+    claims = spark.createDataFrame([("a", i, r) for i, r in enumerate(kinds)] + [("b", 0, True)], "b string, i int, refund boolean")
+    got = ledger.granted(claims, "b", "i", 2).orderBy("b", "i").collect()
+    assert [(r["remaining"], r["granted"]) for r in got] == [(1, True), (0, True), (0, False), (1, True), (0, True), (0, False), (1, True), (2, True), (2, False), (1, True), (2, False)]
     n = lambda *v: tuple(F.lit(x) for x in v)
     percent = lambda done, end=False: spark.range(1).select(ledger.percent(done, F.lit(end))).first()[0]
     start = {"OCR": n(1, 1), "STRUCTURE": n(1, 1)}
@@ -118,7 +120,7 @@ def test_metrics_and_gates(spark):
     row = gates.metrics(spark.createDataFrame(cases, "truth string, picked string, offered boolean"), []).first()
     assert (row["cases"], row["recall"], row["accuracy"]) == (3, 0.666667, 0.5)
     risk = spark.createDataFrame([("不得", "得"), ("三尺", "五尺"), ("a", "b")], "a string, b string").select(gates.risks(F.col("a"), F.col("b"))).collect()
-    assert [r[0] for r in risk] == [["NEGATION"], ["NUMERIC"], []]
+    assert [r[0] for r in risk] == [["NEGATION"], ["NUMERIC", "UNIT"], []]
     used = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert sorted(map(tuple, gates.coverage(spark.createDataFrame([(1,), (2,), (3,)], "k int"), used, "k").collect())) == [(1, 2), (3, 0)]
 
