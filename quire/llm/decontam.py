@@ -20,8 +20,6 @@ SPAN = 8
 ENOUGH, LONG = 12, 22
 #: Windows of the benchmark up to which they are broadcast; beyond, both sides are shuffled by hash.
 BROADCAST_ROWS = 400_000
-#: Windows of the benchmark up to which texts without any of them are passed over before their windows become rows.
-LISTED = 50_000
 _SLOT = "ǂ"
 #: Units of measure. Fixed values.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal ms s sec min h hr hrs hour hours day days week weeks month months year years km/h mph hz khz mhz ghz kb mb gb tb w kw mw v a k c f usd eur gbp dollars euros pounds percent degrees meters metres kilometers kilometres miles grams kilograms liters litres seconds minutes"
@@ -100,10 +98,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items, sizes = _items(benchmark)
     small = items.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null and text is not null")
-    known = [r["h"] for r in items.select("h").distinct().limit(LISTED + 1).collect()] if small else []
-    if small and len(known) <= LISTED:
-        among = f"exists(filter(by, y -> y.h is not null), y -> exists(y.h, x -> x in ({', '.join(f'{h}L' for h in known) or 'null'})))"
-        texts = texts.withColumn("by", _hashed(F.col("text"), sizes)["by"]).where(F.expr(among)).select("doc", "text")
     found = _windows(texts, "doc", sizes)
     # After a broadcast, the words are cut out for hits alone. Explode, join and cut are compiled as one up to the
     # distinct, so that no row holds a whole text; functions with a lambda would part them.

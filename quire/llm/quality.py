@@ -136,13 +136,17 @@ class Model:
     def marginals(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         return _marginals(((x - self.mean) / self.scale) @ self.weight + self.bias, self.trans, first)[0]
 
+    @staticmethod
+    def shares(good: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Good share of each row's lines by length, and the rows' lengths."""
+        rows = len(first) - 1
+        of = np.repeat(np.arange(rows), np.diff(first))
+        weight = np.bincount(of, weights=length, minlength=rows)
+        return np.bincount(of, weights=length * good, minlength=rows) / np.maximum(weight, 1e-9), weight
+
     def scores(self, lines: Lines) -> np.ndarray:
         """Of each row; 0 for one without words."""
-        rows = len(lines.first) - 1
-        good = self.marginals(lines.features, lines.first)
-        of = np.repeat(np.arange(rows), np.diff(lines.first))
-        weight = np.bincount(of, weights=lines.length, minlength=rows)
-        share = np.bincount(of, weights=lines.length * good, minlength=rows) / np.maximum(weight, 1e-9)
+        share, weight = self.shares(self.marginals(lines.features, lines.first), lines.length, lines.first)
         a, b = self.curve
         return np.where(weight > 0, 1 / (1 + np.exp(-np.clip(a * _logit(share) + b, -30, 30))), 0.0)
 
@@ -182,6 +186,7 @@ def fit(x: np.ndarray, first: np.ndarray, length: np.ndarray, label: np.ndarray,
         label = np.array([1])
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = (x - mean) / scale
+    del x  # a copy less on the driver
     y = np.repeat(label, np.diff(first)).astype(np.float64)
     cls = np.array([1 / max((y == 0).sum(), 1), 1 / max((y == 1).sum(), 1)])
     share = np.clip(cls / cls.max(), 0.2, 1)[y.astype(int)]  # the rarer label counts up to five times
@@ -200,7 +205,8 @@ def fit(x: np.ndarray, first: np.ndarray, length: np.ndarray, label: np.ndarray,
         theta -= 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     model = Model(mean, scale, theta[:-5], theta[-5], np.clip(theta[-4:], -2, 2).reshape(2, 2), (1.0, 0.0))
     rows = len(first) - 1
-    share = _logit(model.scores(Lines(x, length, first)))
+    marginal = _marginals(z @ model.weight + model.bias, model.trans, first)[0]
+    share = _logit(model.shares(marginal, length, first)[0])
     a, b = 1.0, 0.0
     t = np.where(label == 1, 0.99, 0.01)
     weight = np.where(label == 1, 1.0, min(1.0, max(0.2, (label == 0).mean()) / max((label == 0).mean(), 1e-9)))
@@ -249,10 +255,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(cast(d
     sample = docs.select(id_key(docs).alias("id"), "text").where("text is not null").join(F.broadcast(picked.select("id", "label")), "id").select("label", "text")
     rows = mapped(sample, _features, "label int, x binary, length binary").toPandas()
     rows = rows.sort_values(["label", "x"], kind="stable")  # the order of partitions must not matter
-    x = [np.frombuffer(b, np.float32).reshape(-1, 3 * N_OWN) for b in rows["x"]]
-    first = np.concatenate([[0], np.cumsum([len(a) for a in x])]).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([len(b) // (12 * N_OWN) for b in rows["x"]])]).astype(np.int64)
     length = np.concatenate([np.zeros(0)] + [np.frombuffer(b) for b in rows["length"]])
-    return fit(np.vstack([np.zeros((0, 3 * N_OWN)), *x]).astype(np.float64), first, length, rows["label"].to_numpy(int))
+    label = rows["label"].to_numpy(int)
+    x = np.empty((first[-1], 3 * N_OWN))
+    for a, b, raw in zip(first[:-1], first[1:], rows.pop("x"), strict=True):
+        x[a:b] = np.frombuffer(raw, np.float32).reshape(-1, 3 * N_OWN)
+    del rows
+    return fit(x, first, length, label)
 
 
 def score_column(docs: DataFrame, model: Model) -> Column:
