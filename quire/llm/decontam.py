@@ -20,6 +20,8 @@ SPAN = 8
 ENOUGH, LONG = 12, 22
 #: Windows of the benchmark up to which they are broadcast; beyond, both sides are shuffled by hash.
 BROADCAST_ROWS = 400_000
+#: Windows of the benchmark up to which texts without any of them are passed over before their windows become rows.
+LISTED = 50_000
 _SLOT = "ǂ"
 #: Units of measure. Fixed values.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal ms s sec min h hr hrs hour hours day days week weeks month months year years km/h mph hz khz mhz ghz kb mb gb tb w kw mw v a k c f usd eur gbp dollars euros pounds percent degrees meters metres kilometers kilometres miles grams kilograms liters litres seconds minutes"
@@ -85,7 +87,7 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     return found.select("item", "words", place.alias("ipos"), "h", *names).distinct(), sizes
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, listed: int = LISTED) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_words, first_word)``: each document and item it holds a passage of.
 
     An item counts where the windows that agree at one offset cover ``ENOUGH`` words; one window is enough if the item
@@ -93,11 +95,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item under ``SPAN`` words has one window, the whole of it. A window of placeholders alone counts only with the
     item's own words. ``n_words`` is the most words covered at one offset, ``first_word`` the place of the first, from
     0. Null ``doc_id`` or ``item_id`` and null texts give no row. Repeated rows count once; an empty table on either
-    side gives an empty one. Other columns are not read. The benchmark is broadcast up to a checked number of windows.
+    side gives an empty one. Other columns are not read. The benchmark is broadcast up to a checked number of windows, and
+    up to ``listed`` of them also make a first filter on the texts, which changes no row; the plan on the driver holds them.
     """
     items, sizes = _items(benchmark)
     small = items.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null and text is not null")
+    known = [r["h"] for r in items.select("h").distinct().limit(listed + 1).collect()] if small and listed else []
+    if 0 < len(known) <= listed:
+        among = f"exists(filter(by, y -> y.h is not null), y -> exists(y.h, x -> x in ({', '.join(f'{h}L' for h in known)})))"
+        texts = texts.withColumn("by", _hashed(F.col("text"), sizes)["by"]).where(F.expr(among)).select("doc", "text")
     found = _windows(texts, "doc", sizes)
     # After a broadcast, the words are cut out for hits alone. Explode, join and cut are compiled as one up to the
     # distinct, so that no row holds a whole text; functions with a lambda would part them.
@@ -134,5 +141,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage; columns unchanged."""
     name = free_name(docs, "_quire_hit")
-    hit = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    # in a pipeline the driver holds the other stages' plans too, so the windows stay out of this one
+    hit = leaks(docs, benchmark, listed=0).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(hit, docs["doc_id"] == hit[name], "left_anti")
