@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lexicon import STOP_WORDS
+from quire.llm.tables import arrow_column, id_key, mapped
 from quire.llm.tokens import Piece, mix, pieces, spans_hash, words
 
-#: At most so many labelled documents of each kind are fitted; nothing else is bounded.
-TRAIN_TOXIC, TRAIN_OTHER = 2000, 4000
+#: At most so many labelled documents of each kind are fitted, and of one with more words than this, so many in runs
+#: spread over its whole length; nothing else is bounded.
+TRAIN_TOXIC, TRAIN_OTHER, TRAIN_WORDS, RUNS = 2000, 4000, 4000, 8
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.5
@@ -210,23 +212,34 @@ def _cut(z: np.ndarray, y: np.ndarray, default: float) -> float:
     return float((z[i] + z[i + 1]) / 2)
 
 
+def _spread(first: int, last: int) -> np.ndarray:
+    if last - first <= TRAIN_WORDS:
+        return np.arange(first, last)
+    size = TRAIN_WORDS // RUNS
+    return (np.linspace(first, last - size, RUNS).astype(np.int64)[:, None] + np.arange(size)).ravel()
+
+
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in pieces(batch.column(1)):
             bucket, first, lang = tokens(p)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(p.first, p.rows), pa.array([bucket[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array(lang.astype(np.int32))],
+                [batch.column(0).slice(p.first, p.rows), pa.array([bucket[_spread(a, b)].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array(lang.astype(np.int32))],
                 names=["label", "words", "lang"],
             )
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 0") -> Model:
-    """Fits on at most ``TRAIN_TOXIC`` and ``TRAIN_OTHER`` labelled documents outside ``held_out``, in the order of a hash of ``doc_id``."""
-    known = labels.where(f"doc_id is not null and toxic in (0, 1) and not ({held_out})").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).dropDuplicates(["id"])
+    """Fits on at most ``TRAIN_TOXIC`` and ``TRAIN_OTHER`` labelled documents outside ``held_out``, in the order of a hash of ``doc_id``.
+
+    A document with both labels is not learnt from; of documents that are near copies of each other in the sample, one is.
+    """
+    known = labels.where(f"doc_id is not null and toxic in (0, 1) and not ({held_out})").select(id_key(labels).alias("id"), F.col("toxic").cast("int").alias("label"))
+    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     by_hash = [F.xxhash64("id"), F.col("id")]
     picked = known.where("label = 1").orderBy(*by_hash).limit(TRAIN_TOXIC).unionByName(known.where("label = 0").orderBy(*by_hash).limit(TRAIN_OTHER))
-    sample = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(F.broadcast(picked), "id").select("label", "text")
-    rows = sample.mapInArrow(_sample_rows, "label int, words binary, lang int").toPandas().drop_duplicates().sort_values(["label", "words"], kind="stable")
+    sample = docs.select(id_key(docs).alias("id"), "text").where("text is not null").join(F.broadcast(picked), "id").select("label", "text")
+    rows = mapped(sample, _sample_rows, "label int, words binary, lang int").toPandas().drop_duplicates().sort_values(["label", "words"], kind="stable")
     seen: set[int] = set()
     keep = []
     for label, raw in zip(rows["label"], rows["words"], strict=True):  # copies of a text with few changes count once
@@ -244,17 +257,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if score >= 0.5).
 
     Scores come from the text alone. Null and empty texts have no words and get the score of none. Null or other
-    labels than 0 and 1 are not learnt from; without both kinds the model keeps its start and stays defined.
+    labels than 0 and 1, and documents labelled both ways, are not learnt from; without both kinds the model keeps its start and stays defined.
     Repeated rows get equal scores; an empty table gives an empty one; extra columns are not read.
     """
     model = train(docs, labels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [model.scores(p) for p in pieces(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *out]))], names=["doc_id", "score"])
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(p) for p in pieces(text))]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    out = docs.select("doc_id", arrow_column(docs.sparkSession, score, "double", F.col("text")).alias("score"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
