@@ -484,3 +484,46 @@ def test_queries_and_sql(spark):
         got = queries()[name](spark, DATA)
         want = con.execute(f"select {', '.join(got.columns)} from ({sql}) x").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want), name
+
+
+def test_html_names_do_not_take_the_article():
+    none = frozenset()
+    for page_html, want in [
+        ("<div class='card-side'><p>Real article text.</p></div>", "Real article text."),
+        ("<div id='notice-board-story'><p>Story here.</p></div><p>x</p>", "Story here.\nx"),
+        ("<div class='content has-sidebar'><article><p>Art one.</p></article><div class='sidebar'>links</div></div>", "Art one."),
+        ("<main class='with-sidebar'><p>Art two</p><div class='comments'>a thread longer than the article</div></main>", "Art two"),
+        ("<div class='comment-list'>a thread longer than it</div><div class=story>hi</div>", "hi"),
+        ("<div class='story'>" + "long " * 50 + "</div><div class='cookie-banner'>We use cookies</div>", ("long " * 50).strip()),
+    ]:
+        assert html.extract(page_html, none, none) == want
+    deep = html.blocks("<div class=a>" * 50_000 + "text" + "</span>" * 50_000)
+    assert [b.text for b in deep] == ["text"]
+
+
+def test_html_classes_against_brute_force(spark):
+    """Classes by the occurrence vectors themselves, a vector being the pages and how often a token is on each."""
+    notice = "a consent notice on all pages of the host " * 12
+    data = [(i, f"http://{h}.org/{i}", page(f"<p>body {i} of {h}</p><p>{notice}</p>" if h == "a" else f"<p>body {i}</p>", "<p>twice</p>" * (1 + i % 2))) for i, h in enumerate("aaaaaaaabbbbbbccc")]
+    data += [(None, "http://a.org/0", data[0][2]), data[1], (90, None, data[0][2]), (91, "http://a.org/e", None), (92, "not a url", "")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("token", F.lit("x")).withColumn("texts", F.lit(1))
+    want = {}
+    for host in "abc":
+        mine = [(u, h) for _, u, h in data if u and u.startswith(f"http://{host}.")]
+        vectors = {}
+        for at, (_, h) in enumerate(mine):
+            for b in html.blocks(h or ""):
+                if not b.out:
+                    for token in (b.path, html._text_token(b)):
+                        vectors.setdefault(token, {}).setdefault(at, 0)
+                        vectors[token][at] += 1
+        paths = {b.path for _, h in mine for b in html.blocks(h or "")}
+        classes = {}
+        for token, v in vectors.items():
+            if len(v) >= html.LEAST_PAGES and len(v) >= html.SHARE * len(mine):
+                classes.setdefault(tuple(sorted(v.items())), []).append(token)
+        want[f"{host}.org"] = {t for c in classes.values() if len(c) >= 2 for t in c if t not in paths}
+    got = {r["host"]: set(r["texts"]) for r in html.templates(df).collect()}
+    assert {h: t for h, t in got.items() if t} == {h: t for h, t in want.items() if t} and want["a.org"]
+    texts = [(r["page_id"], r["text"]) for r in html.main_text(df).collect()]
+    assert len(texts) == len(data) and dict(texts)[3] == "body 3 of a" and dict(texts)[91] == dict(texts)[92] == ""
