@@ -9,7 +9,7 @@ from quire.functions import geometry as geo
 from quire.functions import hashing, money
 from quire.functions.text import contains_folded, markup_text, substituted
 from quire.operators import gates, journal, ledger, search, sequence, signals
-from quire.plans import operator_queries  # noqa: F401  its queries join the catalog
+from quire.plans import operator_queries, record_queries  # noqa: F401  their queries join the catalog
 from quire.plans.catalog import ORACLES, QUERIES, query  # noqa: F401
 from quire.sources.pages import in_ranges, page_ranges, read
 
