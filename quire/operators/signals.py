@@ -146,14 +146,21 @@ def window_kinds(text: Column) -> Column:
 def unreadable_runs(blocks: DataFrame, most: int = 128) -> DataFrame:
     """``blocks(page, order, id, text)`` -> ``page, order, id, start, end``: runs of one unreadable character, the first ``most`` of a page.
 
-    Offsets come from the lengths of runs and of what lies between them, so a text costs one scan.
+    Offsets come from the lengths of runs and of what lies between them, so a text costs one scan. Parts that are used
+    more than once are variables of lambdas: as columns or in a
+    filter of their own, the optimizer would copy each into all of its uses, and again into the constraints of the plan.
     """
-    runs = F.slice(F.regexp_extract_all("text", F.lit(UNREADABLE), F.lit(0)), 1, most)
-    sizes = F.struct(F.transform(F.split("text", UNREADABLE, -1), lambda x: F.length(x)).alias("gaps"), F.transform(runs, lambda x: F.length(x)).alias("runs"))
-    sized = blocks.where(F.col("text").rlike(UNREADABLE)).select("page", "order", "id", sizes.alias("s"))
-    before = lambda i: F.aggregate(F.slice("s.gaps", 1, i + 1), F.lit(0), lambda a, v: a + v) + F.aggregate(F.slice("s.runs", 1, i), F.lit(0), lambda a, v: a + v)
-    places = F.transform("s.runs", lambda n, i: F.struct(before(i).alias("start"), (before(i) + n).alias("end")))
-    flat = sized.select("page", "order", "id", F.explode(places).alias("p")).select("page", "order", "id", "p.*")
+    sizes = lambda values: F.transform(values, lambda x: F.length(x))
+
+    def places(gaps: Column, runs: Column) -> Column:
+        before = lambda i: _total(F.slice(gaps, 1, i + 1), "int") + _total(F.slice(runs, 1, i), "int")
+        return F.transform(runs, lambda n, i: _with(before(i), lambda at: F.struct(at.alias("start"), (at + n).alias("end"))))
+
+    def of(text: Column) -> Column:
+        parts = F.struct(sizes(F.split(text, UNREADABLE, -1)).alias("gaps"), sizes(F.slice(F.regexp_extract_all(text, F.lit(UNREADABLE), F.lit(0)), 1, most)).alias("runs"))
+        return _with(parts, lambda s: places(s["gaps"], s["runs"]))
+
+    flat = blocks.select("page", "order", "id", F.explode(_with(F.col("text"), of)).alias("p")).select("page", "order", "id", "p.*")
     rank = F.row_number().over(Window.partitionBy("page").orderBy("order", "id", "start"))
     return flat.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 

@@ -1,4 +1,5 @@
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -76,6 +77,14 @@ def test_unreadable(spark):
     assert rows(signals.unreadable_runs(given, most=2).select("id", "start")) == [("a", 1), ("a", 3)]
 
 
+def test_unreadable_plan(spark):
+    from quire.plans.queries import QUERIES
+
+    began = time.time()
+    QUERIES["unreadable_places"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert time.time() - began < 20  # the optimizer took 53 s and 4.5 GB when it copied parts into their uses
+
+
 def test_evidence_and_focus(spark):
     kind = "t string, s array<struct<start:int,end:int,resolved:boolean,replacement:string>>"
     cases = [
