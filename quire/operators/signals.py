@@ -107,10 +107,13 @@ def claims_full_page(blocks: Column) -> Column:
 
 
 def needs_recovery(blocks: Column) -> Column:
-    """No body text, or under 80 characters of it on less than 12 % of the page."""
+    """No body text, or under 80 characters of it on less than 12 % of the page.
+
+    Areas are added from the smallest up: a sum of doubles depends on its order, and blocks may come in any.
+    """
     body = F.filter(blocks, lambda x: ~x["type"].isin("advertisement", "page-number") & (_visible(x["original"]) > 0))
     chars = _total(F.transform(body, lambda x: _visible(x["original"])), "int")
-    return F.coalesce((chars == 0) | ((chars < 80) & (_total(F.transform(body, _area), "double") < 0.12)), F.lit(True))
+    return F.coalesce((chars == 0) | ((chars < 80) & (_total(F.array_sort(F.transform(body, _area)), "double") < 0.12)), F.lit(True))
 
 
 def contents_candidate(blocks: Column) -> Column:
