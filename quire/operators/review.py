@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as geo
+from quire.functions.labels import least_labels
 
 
 def sources_of(blocks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -36,28 +39,51 @@ def labels_in_figures(boxes: DataFrame) -> DataFrame:
 def columns_merged(boxes: DataFrame, tops: float = 0.015, gap: float = 0.04) -> DataFrame:
     """``boxes(page, id, x, y, w, h)`` -> ``page, id, head``: boxes chained by near tops and small gaps, to the fixpoint.
 
-    One page is one group; it has at most some thousand boxes by its validation rules.
+    Pages arrive whole and are worked off many at a time; one page has at most some thousand boxes by its validation rules.
     """
 
-    def chained(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["x", "id"], kind="stable").reset_index(drop=True)
-        root = list(range(len(frame)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        x, y, end = frame["x"].to_numpy(), frame["y"].to_numpy(), (frame["x"] + frame["w"]).to_numpy()
-        for i in range(len(frame)):
-            for j in np.flatnonzero((np.abs(y - y[i]) <= tops) & (x >= x[i]) & (x - end[i] <= gap)):
-                a, b = sorted((find(i), find(int(j))))
-                root[b] = a
-        heads = pd.Series([find(i) for i in range(len(frame))])
-        return pd.DataFrame({"page": frame["page"], "id": frame["id"], "head": heads.map(frame.assign(r=heads).groupby("r")["id"].min())})
-
-    return boxes.groupBy("page").applyInPandas(chained, "page long, id string, head string")
+    def chained(table: pa.Table) -> pa.RecordBatch:
+        page = table["page"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        ids = table["id"].combine_chunks()
+        x, y, w = (table[c].to_numpy() for c in ("x", "y", "w"))
+        rank = pc.rank(ids, null_placement="at_end", tiebreaker="first").to_numpy()
+        order = np.lexsort((rank, x, page))
+        page, x, y, end = page[order], x[order], y[order], (x + w)[order]
+        last = np.searchsorted(page, page, "right")
+        u, v = [], []
+        near, step = np.arange(len(page)), 1
+        while len(near := near[near + step < last[near]]):
+            a, b = near, near + step
+            after = (x[a] <= x[b]) & (x[b] - end[a] <= gap)
+            level = (x[a] == x[b]) & (x[a] - end[b] <= gap)
+            hit = (np.abs(y[a] - y[b]) <= tops) & (after | level)
+            u.append(a[hit])
+            v.append(b[hit])
+            step += 1
+        # nodes in the order of their ids, so that the smallest node of a component is its head
+        by_id = np.lexsort((rank[order], page))
+        place = np.empty_like(by_id)
+        place[by_id] = np.arange(len(by_id))
+        none = np.zeros(0, np.int64)
+        label = least_labels(*(place[np.concatenate([none, *e])] for e in (u, v)), len(page))
+        sorted_ids = ids.take(pa.array(order[by_id]))
+        return pa.RecordBatch.from_arrays([table["page"].combine_chunks().take(pa.array(order[by_id])), sorted_ids, sorted_ids.take(pa.array(label))], names=["page", "id", "head"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in (b for b in batches if b.num_rows):
+            page = pa.concat_arrays([*(h.column("page").slice(h.num_rows - 1) for h in held[-1:]), batch.column("page")]).dictionary_encode("encode").indices.to_numpy()
+            edges = np.flatnonzero(np.diff(page)) + (0 if held else 1)
+            if len(edges):  # up to the last page, which may go on in the next batch
+                yield chained(pa.Table.from_batches([*held, batch.slice(0, int(edges[-1]))]))
+                held, batch = [], batch.slice(int(edges[-1]))
+            held.append(batch)
+        if held:
+            yield chained(pa.Table.from_batches(held))
+
+    page, name = (boxes.schema[c].dataType.simpleString() for c in ("page", "id"))
+    whole = boxes.select("page", "id", "x", "y", "w").repartition("page").sortWithinPartitions("page")
+    return whole.mapInArrow(run, f"page {page}, id {name}, head {name}")
 
 
 def paired(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -63,3 +64,32 @@ def test_small_rules(spark):
     assert rows(review.trusted_text(glyphs)) == [(1, True), (2, False)]
     books = spark.createDataFrame([("1", "易經", "a.pdf", False, 1), ("2", "Other", "易.pdf", None, 2), ("3", "易", "c.pdf", True, 3)], "id string, title string, filename string, archived boolean, created_at int")
     assert [r["id"] for r in review.shelf(books, "易").collect()] == ["2", "1"]
+
+
+def test_columns_of_many_pages(spark):
+    """Against a plain fixpoint: many pages in a batch, a page over many batches, ties, ids in another order than places."""
+    rng = random.Random(3)
+    data = [(p, f"b{rng.randrange(9)}{i}", rng.randrange(20) / 20, rng.randrange(9) / 20, rng.choice([0.0, 0.05, 0.1]), 0.1) for p in range(200) for i in range(rng.randrange(1, 9) if p % 50 else 60)]
+    want = set()
+    for page in range(200):
+        boxes = [d for d in data if d[0] == page]
+        head = {d[1]: d[1] for d in boxes}
+        changed = True
+        while changed:
+            changed = False
+            for a in boxes:
+                for b in boxes:
+                    if abs(a[3] - b[3]) <= 0.1 and b[2] >= a[2] and b[2] - (a[2] + a[4]) <= 0.04 and head[a[1]] != head[b[1]]:
+                        head[a[1]] = head[b[1]] = min(head[a[1]], head[b[1]])
+                        changed = True
+        want |= {(page, i, h) for i, h in head.items()}
+    given = spark.createDataFrame(data, "page long, id string, x double, y double, w double, h double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = review.columns_merged(given, tops=0.1)
+            assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
