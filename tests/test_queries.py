@@ -48,3 +48,17 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_escaped_texts_of_odd_rows(spark, tmp_path):
+    """Null languages and sources, backslashes, texts that open with a fence: as in the SQL. No text has a soft line break."""
+    texts = ["a\\b plain", "```\nx-\n``` more", "```json\n-x\n```", "``` open", "  ```", "x<y & 'z' \"q\"", "\\\\\\\\", None, "", "```", "`-\n```", "\x01\x7f/:*?\"<>|"]
+    rows = [(i * len(texts) + j, t, lang, source, None) for i in range(3) for j, t in enumerate(texts) for lang, source in [(("en", "web"), (None, "a\\b"), ("zh", None))[(i + j) % 3]]]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{path}/*.parquet')")
+    want = con.execute(ORACLES["escaped_texts"])
+    columns = [d[0] for d in want.description]
+    got = QUERIES["escaped_texts"](spark, str(tmp_path))
+    assert _rows(got.columns, got.collect()) == _rows(columns, want.fetchall())
