@@ -3,9 +3,13 @@
 A passage often starts in the middle of a physical line, so lines are taken wherever they may begin: every run
 of ``LINE`` words is hashed as one line. From each ``WINDOW`` consecutive line hashes the smallest is selected;
 a passage of ``LINE + WINDOW - 1`` words that occurs twice has a selected fingerprint in common, and no two
-neighbouring fingerprints of it leave a word between them. Each fingerprint is joined with its first occurrence
-(by ``doc_id``) and with the one before it, neighbouring matches at one offset from one text merge into a run, both
-ends of a run are extended word by word against that text, and runs of ``min_words`` words or more are deleted.
+neighbouring fingerprints of it leave a word between them. Places of a fingerprint with the same ``WINDOW - 1`` words
+on either side are one class: every passage of that length through a place is found in the first place of its class
+(by ``doc_id``). The first places of the classes are joined with the first of them and with the one before. Where a
+fingerprint has more than three classes, an earlier class in between may hold more, so each passage of
+``LINE + WINDOW - 1`` words through these places is looked up by its own hash. Neighbouring matches at one offset from
+one text merge into a run, both ends of a run are extended word by word against that text, and runs of ``min_words``
+words or more are deleted.
 """
 
 from __future__ import annotations
@@ -46,6 +50,22 @@ def selected(row: np.ndarray, value: np.ndarray, width: int = WINDOW) -> np.ndar
     return np.flatnonzero((_sliding(padded, width, np.maximum) == value) & (value > 0))
 
 
+def _context(w: Words, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hash of the words next to a line, ``WINDOW - 1`` on either side or up to the text's ends."""
+    index = at[:, None] + np.concatenate([np.arange(1 - WINDOW, 0), np.arange(LINE, LINE + WINDOW - 1)])
+    inside = (index >= w.first[row][:, None]) & (index < w.first[row + 1][:, None])
+    near = np.where(inside, w.hash[np.where(inside, index, 0)], 0)
+    odd = mix(np.arange(near.shape[1], dtype=np.uint64)) | np.uint64(1)
+    return _short(mix((near * odd).sum(axis=1, dtype=np.uint64)))
+
+
+def _nearest(group: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Index of the nearest earlier place of each one's group that it does not overlap, or -1; sorted by group and place."""
+    spot = (group << 32) + pos
+    back = np.searchsorted(spot, spot - LINE, "right") - 1
+    return np.where((back >= 0) & (group[back] == group), back, -1) if len(pos) else np.zeros(0, np.int64)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, keys = batch.column(0), batch.column(1)
@@ -55,24 +75,54 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             got = selected(row, value)
             row, value = row[got], value[got]
             pos = at[got] - w.first[row]
-            # a fingerprint that a text repeats is matched here, so that only its first place is dealt by hash
-            order = np.lexsort((pos, value, row))
-            r, v, q = row[order], value[order], pos[order]
+            near = _context(w, at[got], row)
+            order = np.lexsort((pos, near, value, row))
+            r, v, q, c = row[order], value[order], pos[order], near[order]
             new = np.ones(len(order), bool)
-            new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
-            # the nearest place that it does not overlap, so that a period has one offset
-            group = np.cumsum(new) - 1 if len(order) else np.zeros(0, np.int64)
-            spot = (group << 32) + q
-            back = np.searchsorted(spot, spot - LINE, "right") - 1
-            again = (back >= 0) & (group[back] == group) if len(order) else new
-            own = q[back] if len(order) else q
-            use = new | again
-            r, v, q, own, again = r[use], v[use], q[use], own[use], again[use]
+            new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1]) | (c[1:] != c[:-1])
+            # a fingerprint that a text repeats in the same context is matched here, so that only its first place is dealt by hash
+            same = _nearest(np.cumsum(new) - 1, q)
+            parts = [(np.flatnonzero(new), np.zeros(int(new.sum()), np.int64), False)]
+            parts.append((hit := np.flatnonzero(same >= 0), q[same[hit]], True))
+            # the nearest place in any context, so that a period has one offset
+            by = np.lexsort((q, v, r))
+            start = np.ones(len(by), bool)
+            start[1:] = (r[by][1:] != r[by][:-1]) | (v[by][1:] != v[by][:-1])
+            any_ = _nearest(np.cumsum(start) - 1, q[by])
+            parts.append((by[hit := np.flatnonzero(any_ >= 0)], q[by][any_[hit]], True))
+            use, own = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+            again = np.repeat([x[2] for x in parts], [len(x[0]) for x in parts])
+            r, v, q, c = r[use], v[use], q[use], c[use]
             v = np.where(again, mix(v + q.astype(np.uint64)), v)
             where = pa.array(r + p.first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v.view(np.int64)), pa.array(again), ids.take(where), keys.take(where), pa.array(q.astype(np.int32)), pa.array(own.astype(np.int32))],
-                names=["fp", "again", "doc", "key", "pos", "own"],
+                [pa.array(v.view(np.int64)), pa.array(again), pa.array(c), ids.take(where), keys.take(where), pa.array(q.astype(np.int32)), pa.array(own.astype(np.int32))],
+                names=["fp", "again", "near", "doc", "key", "pos", "own"],
+            )
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the passages through each asked fingerprint that have it as their smallest line."""
+    for batch in batches:
+        ids, keys = batch.column(0), batch.column(1)
+        for p in pieces(batch.column(2)):
+            w = words(p, lower=False)
+            asked = batch.column(3).slice(p.first, p.rows)
+            row = np.repeat(np.arange(p.rows), np.diff(asked.offsets.to_numpy()))
+            pos = asked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            _, line_at, line = shingles(w, LINE, whole=False)
+            _, at, value = shingles(w, LINE + WINDOW - 1, whole=False)
+            least = _sliding(line, WINDOW, np.minimum) if len(line) >= WINDOW else line[:0]
+            begin = (w.first[row] + pos)[:, None] - np.arange(WINDOW)
+            fits = (begin >= w.first[row][:, None]) & (begin + LINE + WINDOW - 1 <= w.first[row + 1][:, None])
+            i, back = np.nonzero(fits)
+            begin = begin[i, back]
+            # a passage's lines are neighbours, so the index of its first line gives its smallest one
+            smallest = least[np.searchsorted(line_at, begin)] == line[np.searchsorted(line_at, begin + back)]
+            i, begin = i[smallest], begin[smallest]
+            where = pa.array(row[i] + p.first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[np.searchsorted(at, begin)].view(np.int64)), ids.take(where), keys.take(where), pa.array(pos[i].astype(np.int32))], names=["passage", "doc", "key", "pos"]
             )
 
 
@@ -163,15 +213,26 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "
     of, spans_of = free_name(docs, "_quire_key"), free_name(docs, "_quire_runs")
     keyed = docs.withColumn(of, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     texts = keyed.select(id_key(docs).alias("doc"), F.col(of).alias("key"), "text").where("text is not null")
-    fps = mapped(texts, _fingerprints, "fp long, again boolean, doc long, key long, pos int, own int")
-    first = Window.partitionBy("fp", "again").orderBy("doc", "key", "pos")
-    # the place before this one as well: the first may hold less of the passage than later ones
-    place = lambda k, p: F.struct(k.alias("src"), p.alias("spos"))
-    earlier = F.when(F.col("again"), F.array(place(F.col("key"), F.col("own")))).otherwise(
-        F.array(place(F.first("key").over(first), F.first("pos").over(first)), place(F.lag("key").over(first), F.lag("pos").over(first)))
-    )
-    found = fps.select("key", "pos", earlier.alias("earlier")).select("key", "pos", F.explode(F.array_distinct("earlier")).alias("x"))
-    hits = found.select("key", "pos", "x.*").where("src is not null and (key <> src or pos <> spos)").distinct()
+    fps = mapped(texts, _fingerprints, "fp long, again boolean, near int, doc long, key long, pos int, own int")
+    of_class = Window.partitionBy("fp", "again", "near").orderBy("doc", "key", "pos")
+    of_all = Window.partitionBy("fp", "again").orderBy("doc", "key", "pos")
+    place = lambda k, p: F.struct(F.col(k).alias("src"), F.col(p).alias("spos"))
+    here = place("key", "pos")
+    classed = fps.withColumn("first", F.first(here).over(of_class)).withColumn("head", ~F.col("again") & (F.col("first") == here))
+    before = F.last(F.when(F.col("head"), here), ignorenulls=True).over(of_all.rowsBetween(Window.unboundedPreceding, -1))
+    classes = F.count_if("head").over(Window.partitionBy("fp", "again"))
+    earlier = F.when(F.col("again"), F.array(place("key", "own"))).when(F.col("head"), F.array(F.first(here).over(of_all), before)).otherwise(F.array("first"))
+    found = classed.select("doc", "key", "pos", earlier.alias("earlier"), (F.col("head") & (classes > 3)).alias("more"))
+    # the first place of all has nothing before it
+    found = found.withColumn("earlier", F.filter(F.array_distinct("earlier"), lambda x: x.isNotNull() & ~((x["src"] == F.col("key")) & (x["spos"] == F.col("pos")))))
+    found = written(found.where("more or size(earlier) > 0"))
+    wanted = found.where("more").groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("asked"))
+    passages = mapped(texts.join(wanted, "key").select("doc", "key", "text", "asked"), _passages, "passage long, doc long, key long, pos int")
+    top = F.first(here).over(Window.partitionBy("passage").orderBy("doc", "key", "pos"))
+    rest = passages.select("key", "pos", top.alias("x")).select("key", "pos", "x.*").where("key <> src or pos <> spos").distinct()
+    hits = found.select("key", "pos", F.explode("earlier").alias("x")).select("key", "pos", "x.*").unionByName(rest)
+    # in one text, places that overlap are no repeat
+    hits = hits.where(f"key <> src or pos - spos >= {LINE}").distinct()
     order = Window.partitionBy("key", "src", F.col("pos") - F.col("spos")).orderBy("pos")
     islands = hits.withColumn("new", F.coalesce(F.col("pos") > F.lag("pos").over(order) + LINE, F.lit(True))).withColumn("island", F.sum(F.col("new").cast("int")).over(order))
     runs = written(

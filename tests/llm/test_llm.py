@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, graph, html, jaccard, licenses, linededup, mixing, quality, rules, secrets, tokens, toxicity
+from quire.llm import decontam, graph, html, jaccard, licenses, linededup, mixing, quality, rules, secrets, tables, tokens, toxicity
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,6 +61,23 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_task_or_many(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(1000 + i, 1001 + i) for i in range(99)], "a long, b long")
+    one = sorted(map(tuple, graph.components(edges).collect()))
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert one == sorted(map(tuple, graph.components(edges).collect()))
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(str(b).startswith("shuffle_") for b in store.getAllBlocks().mkString("\n").split("\n"))
+    before = shuffled()
+    out = tables.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert shuffled() <= before
+    assert out.count() == 7
+
+
 def shingle_set(text, k):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
@@ -184,6 +201,31 @@ def test_line_dedup_equals_brute_force_between_texts(spark, docs):
     assert not bad
 
 
+def test_line_dedup_finds_what_neither_first_nor_last_place_holds(spark):
+    """Many texts with the middle of a passage, few with more of it: against all 50-word windows of all earlier texts."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passages = [[word() for _ in range(120)] for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        said = []
+        for p in rng.sample(passages, 2):
+            lo, hi = sorted((rng.randrange(0, 45), rng.randrange(75, 121))) if rng.random() < 0.5 else (45, 75)
+            said += [word() for _ in range(rng.randrange(1, 30))] + p[lo:hi] + [word() for _ in range(rng.randrange(3))]
+        texts.append(said)
+    seen, want = set(), {}
+    for i, said in enumerate(texts):
+        gone, own = set(), [tuple(said[j : j + 50]) for j in range(len(said) - 49)]
+        for j, window in enumerate(own):
+            if window in seen:
+                gone |= set(range(j, j + 50))
+        seen |= set(own)
+        want[i] = [x for j, x in enumerate(said) if j not in gone]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in linededup.line_dedup(docs).collect()}
+    assert got == want
+
+
 def test_lines_deduped_keeps_columns(spark, odd):
     out = linededup.lines_deduped(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
