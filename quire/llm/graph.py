@@ -1,18 +1,37 @@
-"""Connected components by alternating large-star and small-star steps, all in DataFrames."""
+"""Connected components: within one task while the edges are few, by alternating large-star and small-star steps otherwise."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tables import dropped, written
+from quire.functions.labels import least_labels
+from quire.llm.tables import dropped, mapped, written
+
+#: Distinct edges up to which one task (some 100 MB) solves the graph; each step in DataFrames costs the driver memory.
+FEW = 1 << 20
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for b in batches]
+    if held:
+        edges = np.concatenate(held, axis=1)
+        node, index = np.unique(edges, return_inverse=True)
+        u, v = index.reshape(edges.shape)
+        component = node[least_labels(u, v, len(node))]
+        for k in range(0, len(node), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (node, component)], names=["node", "component"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)`` for each node on an edge; the label is the smallest node.
 
-    No edges give an empty table; loops and repeated edges are harmless; null ends are ignored. Each
-    step is a partial-aggregated minimum and an equi-join whose large keys adaptive execution can split; a
+    No edges give an empty table; loops and repeated edges are harmless; null ends are ignored. Up to ``FEW``
+    distinct edges are solved by one task, more of them in DataFrames, with the same rows. Each step is a partial-aggregated minimum and an equi-join whose large keys adaptive execution can split; a
     star with any number of points takes the same few steps.
     """
     now = written(
@@ -20,6 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    if now.count() <= FEW:
+        return mapped(now.coalesce(1), _solved, "node long, component long")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.tables import free_name, id_key, is_whole, mapped, written
+from quire.llm.tables import dropped, free_name, id_key, is_whole, mapped, written
 from quire.llm.tokens import distinct_sets, mix, pieces, shingles, words
 
 #: Shingles in a block of a group, pivots of a split, and levels of recursion.
@@ -266,14 +266,16 @@ def _blocks(percent: int):
     return run
 
 
-def _regions(docs: DataFrame, percent: int) -> DataFrame:
+def _regions(docs: DataFrame, percent: int, made: list[DataFrame] | None = None) -> DataFrame:
     """``docs(g, id, cell, shingles)`` with each large group ``g`` split into Voronoi regions around pivots, recursively.
 
     A split is kept where its largest region has at most three quarters of the group's shingles and all its regions
     at most twice; a group that pivots do not part stays whole. Groups of a single cell, already connected, are left out.
+    Tables that the result reads are added to ``made``.
     """
     size = F.sum(F.size("shingles").cast("long"))
     leaves, now = [], docs
+    made = [] if made is None else made
     for depth in range(DEPTH):
         stat = now.groupBy("g").agg(size.alias("total"), F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo <> hi")
         large = stat.where(F.col("total") > BLOCK).select("g", "total")
@@ -296,6 +298,7 @@ def _regions(docs: DataFrame, percent: int) -> DataFrame:
         rest = F.when(F.array_min("far")["far"] >= HOME, F.array(F.lit(PIVOTS).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
         to = F.explode(F.concat(near, rest)).alias("to")
         dealt = written(far.select("g", "total", "id", "cell", "shingles", to).withColumn("to", F.xxhash64("g", F.lit(depth), "to")))
+        made.append(dealt)
         parts = dealt.groupBy("g", "total", "to").agg(size.alias("part"))
         parted = parts.groupBy("g", "total").agg(F.max("part").alias("most"), F.sum("part").alias("all")).where("4 * most <= 3 * total and all <= 2 * total").select("g")
         whole = large.join(parted, "g", "left_anti").select("g")
@@ -306,8 +309,8 @@ def _regions(docs: DataFrame, percent: int) -> DataFrame:
     return now
 
 
-def _group_links(left: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of different cells of a group.
+def _group_links(left: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between documents of different cells of a group, and the tables that they are read from.
 
     Groups are split into regions first. Documents outside a region's largest cell are pivots, each compared exactly
     with every document of the region through an inverted index. Pivots and documents of a region are dealt into blocks
@@ -315,7 +318,8 @@ def _group_links(left: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     only a forest comes out.
     """
     docs = left.select("id", "cell").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")), "id").join(sets, "id")
-    docs = _regions(written(docs.select("g", "id", "cell", "shingles")), percent)
+    made = [written(docs.select("g", "id", "cell", "shingles"))]
+    docs = _regions(made[0], percent, made)
     by_cell = docs.groupBy("g", "cell").agg(F.count("*").alias("docs"), F.sum(F.size("shingles").cast("long")).alias("size"))
     stat = by_cell.groupBy("g").agg(F.max(F.struct("docs", "cell")).alias("top"), F.sum("size").alias("size"))
     parts = lambda: F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
@@ -325,7 +329,7 @@ def _group_links(left: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     pivots = docs.where("cell <> main").select("g", own.alias("p"), F.explode(every).alias("q"), F.lit(1).alias("pivot"), "id", "cell", "shingles")
     others = docs.select("g", F.explode(every).alias("p"), own.alias("q"), F.lit(0).alias("pivot"), "id", "cell", "shingles")
     dealt = pivots.unionByName(others).repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
-    return mapped(dealt, _blocks(percent), "a long, b long")
+    return mapped(dealt, _blocks(percent), "a long, b long"), made
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -360,18 +364,22 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     linked = (100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both")))
     pairs = regions.where((F.col("id") != F.col("first")) & near(F.col("n"), F.col("first_n")))
     tested = written(_tested(pairs.select("id", F.col("first").alias("pivot")).distinct(), sets, percent))
-    links = tested.where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    cells = written(components(links))
+    linked_heads = tested.where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    cells = written(components(linked_heads))
 
     # regions whose other documents, beside the pivot, are of more than one cell, gathered into groups that share none
     label = cells.select(F.col("node").alias("id"), F.col("component").alias("cell"))
     now = regions.where("id <> first").select("part", "id").distinct().join(label, "id", "left").withColumn("cell", F.coalesce("cell", "id"))
     mixed = now.groupBy("part").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo <> hi").select("part")
     left = written(now.join(mixed, "part").select("part", "id", "cell"))
+    dropped(regions)
+    dropped(cells)
     heads = left.groupBy("part").agg(F.min("id").alias("head"))
-    groups = components(left.join(heads, "part").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    links = links.unionByName(_group_links(left, groups, sets, percent))
-    cells = components(links)
+    groups = written(components(left.join(heads, "part").select(F.col("id").alias("a"), F.col("head").alias("b"))))
+    links, made = _group_links(left, groups, sets, percent)
+    cells = components(linked_heads.unionByName(links))
+    for table in (left, sets, tested, groups, *made):
+        dropped(table)
     return cells.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
