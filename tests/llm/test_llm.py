@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,21 @@ def test_line_dedup_finds_what_neither_first_nor_last_place_holds(spark):
     assert got == want
 
 
+def test_line_dedup_asks_a_source_once_and_in_parts(spark, monkeypatch):
+    """The words beside the runs are read once, in parts of few runs; a text's own repeats are settled before anything is dealt."""
+    monkeypatch.setattr(linededup, "ASKED", 3)
+    rng = random.Random(12)
+    p, q = prose(rng, 90).split(), prose(rng, 60)
+    texts = [" ".join(p)] + [f"{prose(rng, 3)} {' '.join(p[i : i + 55])} {prose(rng, 3)}" for i in range(20)] + [f"{prose(rng, 9)} " + f"{q} " * 40]
+    out = linededup.line_dedup(rows(spark, *texts, texts[21]))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc_id"]: (len(r["text"].split()), r["n_removed"]) for r in out.collect()}
+    assert got == {0: (90, 0)} | {i: (6, 55) for i in range(1, 21)} | {21: (69, 39 * 60), 22: (0, 9 + 40 * 60)}
+    text = pa.RecordBatch.from_pydict({"doc": [1], "key": [1], "text": [texts[21]]})
+    ends = [x for b in linededup._fingerprints(50)(iter([text])) for x in b.column("end").to_pylist()]
+    assert [x for x in ends if x >= 0] == [9 + 40 * 60] and len(ends) < 20
+
+
 def test_lines_deduped_keeps_columns(spark, odd):
     out = linededup.lines_deduped(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
