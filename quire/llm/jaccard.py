@@ -12,17 +12,20 @@ Word shingles under the Jaccard distance are a metric space, joined in regions a
    parts, which keeps regions small and loses nothing.
 2. *Pivots within regions.* Each region takes a pivot document, every other one is compared with it exactly,
    and linked ones join its cell. Pairs of one cell need no further test, and most regions are one cell.
-3. *Recursion.* The other regions are gathered into groups that have no region in common; there distances do vary.
+3. *Parity bits.* Sets that differ in many shingles differ in many parities of their hashes as well, so most pairs that met by
+   chance are ruled out by some bits a shingle, before a set is read. In a mixed region of up to ``SMALL`` rows all pairs of
+   different cells are judged so, and the few that are left are compared exactly.
+4. *Recursion.* Mixed regions that are larger, or where more than ``LEFT`` pairs a row are left, are gathered into groups that
+   have no region in common; there distances do vary.
    A group of more than ``BLOCK`` shingles is split among pivots into Voronoi regions: a document goes to its nearest
    pivot and, by the triangle inequality, to every pivot that is at most twice the radius farther, so that two linked
    documents share a region. Documents ``HOME`` or farther from every pivot have a region of their own, and one farther
    than ``HOME`` plus the radius from a pivot cannot link into its region. Regions are split again while that makes them
-   smaller. In what is left every document
-   outside the largest cell is compared exactly with all documents of the region, block by block; only what connects
-   two cells is kept.
+   smaller. In what is left every document outside the largest cell is compared exactly with all documents of the region,
+   block by block; only what connects two cells is kept.
 
-Sizes rule out pairs before a comparison. No pairs of a group are enumerated as rows, a region of any size is
-streamed from sorted shuffle partitions, and a group of any size is dealt into blocks.
+Sizes rule out pairs before a comparison. Of a group's pairs no more than ``LEFT`` a document are enumerated as rows, a
+region of any size is streamed from sorted shuffle partitions, and a group of any size is dealt into blocks.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ from quire.llm.tokens import distinct_sets, mix, pieces, shingles, words
 BLOCK, PIVOTS, DEPTH = 150_000, 16, 6
 #: Distance from which on a document does not belong to a pivot.
 HOME = 0.5
+#: Rows of a region up to which one task compares all its pairs by parity bits, and pairs a row beyond which it has too many left.
+SMALL, LEFT = 4096, 4
 #: Cells of the sketch of shingle counts, and the pieces in which it is added up.
 CELLS, SEGMENTS = 1 << 20, 64
 
@@ -139,19 +144,28 @@ def _part_keys(k: int, percent: int, frequent: np.ndarray):
     Frequent shingles (of common lines) are left out of the parts: what two linked sets differ by without them is
     no more than with them, so they still agree on a part that is not empty if one of them has more parts than
     errors. Documents that have not, being made of common lines, take part with their whole sets among themselves.
+
+    Of its keys a document gives one more than the errors it can have, in an order of all keys: what it has before the first
+    key that it shares with a linked document is no more than its errors, so both give that key. Parts of many shingles come
+    first, so that documents seldom meet by a single phrase.
     """
     schema = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
     packed = np.packbits(frequent)
 
-    def keys_of(row: np.ndarray, value: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    def keys_of(row: np.ndarray, value: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, row, place among the row's keys: those of more shingles first, then by hash)."""
         if not len(row):
-            return np.zeros(0, np.uint64), row
+            return np.zeros(0, np.uint64), row, row
         with np.errstate(over="ignore"):
             part = ((value >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
             begin = np.flatnonzero(new)
-            return mix(np.add.reduceat(mix(value), begin) + mix(part[begin] + np.uint64(salt))), row[begin]
+            key = mix(np.add.reduceat(mix(value), begin) + mix(part[begin] + np.uint64(salt)))
+        held = np.minimum(np.diff(np.append(begin, len(row))), 15).astype(np.uint64)
+        order = np.lexsort(((key >> np.uint64(4)) | ((np.uint64(15) - held) << np.uint64(60)), row[begin]))
+        key, where = key[order], row[begin][order]
+        return key, where, np.arange(len(where)) - np.searchsorted(where, where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(packed).astype(bool)
@@ -162,17 +176,20 @@ def _part_keys(k: int, percent: int, frequent: np.ndarray):
                 sizes = np.diff(at)
                 rare = ~common[(value & np.uint64(CELLS - 1)).astype(np.int64)]
                 for j, who in _levels_of(sizes, percent):
-                    _, errors, parts = _level(j, percent)
+                    top, _, parts = _level(j, percent)
+                    # by how many shingles a set of this class can differ from a linked one of the class
+                    errors = (100 - percent) * (sizes + np.minimum(top, sizes * 100 // percent)) // (100 + percent)
                     picked = np.zeros(rows, bool)
                     picked[who] = True
                     use = picked[row]
-                    key, where = keys_of(row[use & rare], value[use & rare], parts, (2 * j + 2) << 40)
-                    picked[np.bincount(where, minlength=rows) > errors] = False
+                    key, where, place = keys_of(row[use & rare], value[use & rare], parts, (2 * j + 2) << 40)
+                    picked &= np.bincount(where, minlength=rows) <= errors
                     use = picked[row]
-                    more, there = keys_of(row[use], value[use], parts, (2 * j + 3) << 40)
+                    more, there, after = keys_of(row[use], value[use], parts, (2 * j + 3) << 40)
                     thin = np.flatnonzero(picked & (np.bincount(there, minlength=rows) <= errors))
-                    key = np.concatenate([key, more, np.full(len(thin), mix(np.array([j + 1], np.uint64))[0])])
-                    where = np.concatenate([where, there, thin])
+                    first, second = place <= errors[where], after <= errors[there]
+                    key = np.concatenate([key[first], more[second], np.full(len(thin), mix(np.array([j + 1], np.uint64))[0])])
+                    where = np.concatenate([where[first], there[second], thin])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own[where]), pa.array(sizes[where].astype(np.int32))], schema=schema)
 
     return run
@@ -191,6 +208,92 @@ def _set_rows(k: int):
     return run
 
 
+def _parities(k: int):
+    """A set's parity bits: bit ``i`` of ``m`` tells whether an odd number of shingles has the hash ``i`` modulo ``m``.
+
+    ``m`` is a power of two, at least the set's size up to 2^16. Two sets' bits differ in no more places than the sets do.
+    """
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for first, rows, row, value, at in _sets(batch.column(1), k):
+                sizes = np.diff(at)
+                m = 1 << np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 6, 16)
+                begin = np.concatenate([[0], np.cumsum(m)])
+                place = begin[row] + (value & (m[row] - 1).astype(np.uint64)).astype(np.int64)
+                odd = np.packbits((np.bincount(place, minlength=begin[-1]) & 1).astype(bool), bitorder="little")
+                bits = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((begin // 8).astype(np.int32)), pa.py_buffer(odd)])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(sizes.astype(np.int32)), bits], schema=schema)
+
+    return run
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """Parity bits in 64-bit words, for a smaller modulus of ``size`` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def _alike(percent: int):
+    """Pairs ``(id, pivot)`` whose parity bits do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, other_n = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            most = (100 - percent) * (n + other_n) // (100 + percent)
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                keep[i] = np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum() <= most[i]
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+def _candidates(percent: int):
+    """Pairs of different cells of a region (rows sorted by region) that parity bits do not rule out.
+
+    A region with more than ``LEFT`` of them a row gives one row without a pair instead.
+    """
+    names, left = ["part", "id", "pivot"], LEFT
+
+    def pairs(ids: list[int], sizes: list[int], cells: list[int], bits: list[bytes]) -> set[tuple[int, int]] | None:
+        size = min(map(len, bits))
+        own = np.stack([_folded(x, size) for x in bits])
+        n, cell = np.array(sizes, np.int64), np.array(cells)
+        out: set[tuple[int, int]] = set()
+        for i in range(len(ids) - 1):
+            differ = np.bitwise_count(own[i + 1 :] ^ own[i]).sum(axis=1, dtype=np.int64)
+            for j in np.flatnonzero((differ <= (100 - percent) * (n[i] + n[i + 1 :]) // (100 + percent)) & (cell[i + 1 :] != cell[i])).tolist():
+                a, b = ids[i], ids[i + 1 + j]
+                out.add((max(a, b), min(a, b)))
+            if len(out) > left * len(ids):
+                return None
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, ([], [], [], [])
+
+        def done() -> pa.RecordBatch:
+            got = pairs(*held)
+            rows = [(part, None, None)] if got is None else [(part, a, b) for a, b in got]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=names)
+
+        for batch in batches:
+            for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    if held[0]:
+                        yield done()
+                    part, held = p, ([], [], [], [])
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+        if held[0]:
+            yield done()
+
+    return run
+
+
 def _set_sizes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,28 +460,47 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         .where("before <> first or after <> id or before < id")
         .select("part", "id", "n", "first", "first_n")
     )
-    members = regions.select("id").distinct()
-    sets = written(mapped(docs.join(members, "id"), _set_rows(k), "id long, shingles array<long>"))
-
     near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     linked = (100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both")))
-    pairs = regions.where((F.col("id") != F.col("first")) & near(F.col("n"), F.col("first_n")))
-    tested = written(_tested(pairs.select("id", F.col("first").alias("pivot")).distinct(), sets, percent))
-    linked_heads = tested.where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    cells = written(components(linked_heads))
-
-    # regions whose other documents, beside the pivot, are of more than one cell, gathered into groups that share none
+    of = lambda ids, f, schema: written(mapped(docs.join(ids.distinct(), "id"), f, schema))
+    ends = lambda pairs: pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id")))
+
+    # what parity bits leave of the pairs with a region's first document is compared exactly
+    bits = of(regions.select("id"), _parities(k), "id long, n int, bits binary")
+    pairs = regions.where((F.col("id") != F.col("first")) & near(F.col("n"), F.col("first_n"))).select("id", F.col("first").alias("pivot")).distinct()
+    both = pairs.join(bits.select("id", F.col("n").alias("x"), F.col("bits").alias("xs")), "id").join(bits.select(F.col("id").alias("pivot"), F.col("n").alias("y"), F.col("bits").alias("ys")), "pivot")
+    alike = written(mapped(both.select("id", "pivot", "x", "y", "xs", "ys"), _alike(percent), "id long, pivot long").distinct())
+    sets = of(ends(alike), _set_rows(k), "id long, shingles array<long>")
+    tested = written(_tested(alike, sets, percent).where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    dropped(alike)
+    dropped(sets)
+    cells = written(components(tested))
+
+    # regions whose other documents, beside the pivot, are of more than one cell
     label = cells.select(F.col("node").alias("id"), F.col("component").alias("cell"))
     now = regions.where("id <> first").select("part", "id").distinct().join(label, "id", "left").withColumn("cell", F.coalesce("cell", "id"))
-    mixed = now.groupBy("part").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo <> hi").select("part")
-    left = written(now.join(mixed, "part").select("part", "id", "cell"))
+    mixed = now.groupBy("part").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("part", "rows")
+    left = written(now.join(mixed, "part").select("part", "rows", "id", "cell"))
     dropped(regions)
     dropped(cells)
-    heads = left.groupBy("part").agg(F.min("id").alias("head"))
-    groups = written(components(left.join(heads, "part").select(F.col("id").alias("a"), F.col("head").alias("b"))))
-    links, made = _group_links(left, groups, sets, percent)
-    cells = components(linked_heads.unionByName(links))
-    for table in (left, sets, tested, groups, *made):
+    small = left.where(F.col("rows") <= SMALL).join(bits, "id").select("part", "id", "n", "cell", "bits")
+    found = written(mapped(small.repartition("part").sortWithinPartitions("part"), _candidates(percent), "part long, id long, pivot long"))
+    alike = written(found.where("id is not null").select("id", "pivot").distinct())
+    large = written(left.where(F.col("rows") > SMALL).select("part", "id", "cell").unionByName(left.join(found.where("id is null").select("part"), "part").select("part", "id", "cell")))
+    for table in (bits, left, found):
+        dropped(table)
+
+    # the pairs that are left, and regions that are too large or have too many of them, gathered into groups that share none
+    sets = of(ends(alike).unionByName(large.select("id")), _set_rows(k), "id long, shingles array<long>")
+    links = _tested(alike, sets, percent).where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    made = []
+    if not large.isEmpty():
+        heads = large.groupBy("part").agg(F.min("id").alias("head"))
+        groups = written(components(large.join(heads, "part").select(F.col("id").alias("a"), F.col("head").alias("b"))))
+        more, made = _group_links(large, groups, sets, percent)
+        links, made = links.unionByName(more), [groups, *made]
+    cells = components(tested.unionByName(links))
+    for table in (alike, large, sets, tested, *made):
         dropped(table)
     return cells.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 

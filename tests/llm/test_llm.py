@@ -154,6 +154,72 @@ def test_regions_lose_no_link(spark, monkeypatch):
             assert any({a, b} <= ids for ids in by.values())
 
 
+def _linked(texts, k, percent):
+    """Components by brute force."""
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) > 0:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    return root
+
+
+def _mingled(rng, n):
+    """Documents of a few common sentences, and near copies of some."""
+    said = [prose(rng, rng.randint(6, 12)) for _ in range(40)]
+    texts = [" ".join(x for _ in range(rng.randint(1, 6)) for x in (rng.choice(said), prose(rng, rng.randint(1, 20)))) for _ in range(n)]
+    for t in texts[: n // 4]:
+        w = t.split()
+        for _ in range(rng.randint(0, max(1, len(w) // 25))):
+            w[rng.randrange(len(w))] = rng.choice(["x", "y"])
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_jaccard_keys_are_few_and_meet(percent):
+    rng = random.Random(percent)
+    texts = _mingled(rng, 160)
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    keys, classes = [set() for _ in texts], [{} for _ in texts]
+    for j, got in enumerate(jaccard._part_keys(3, percent, np.zeros(jaccard.CELLS, bool))([batch])):
+        for part, i, n in zip(*(c.to_pylist() for c in got.columns), strict=True):
+            keys[i].add(part)
+            classes[i][j] = classes[i].get(j, 0) + 1
+            few = (100 - percent) * (n + n * 100 // percent) // (100 + percent) + 1
+            assert classes[i][j] <= (few if percent >= 80 and n >= 40 else 2 * few + 1)
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in (t.split() for t in texts)]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            assert keys[a] & keys[b]
+
+
+def test_jaccard_parity_bits_never_differ_more_than_the_sets():
+    rng = random.Random(4)
+    texts = [*_mingled(rng, 40), prose(rng, 3000), "a b"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    got = [r for b in jaccard._parities(3)([batch]) for r in b.to_pylist()]
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in (t.split() for t in texts)]
+    assert [(r["id"], r["n"]) for r in got] == [(i, len(x)) for i, x in enumerate(sets)]
+    for x, y in itertools.combinations(got, 2):
+        size = min(len(x["bits"]), len(y["bits"]))
+        assert np.bitwise_count(jaccard._folded(x["bits"], size) ^ jaccard._folded(y["bits"], size)).sum() <= len(sets[x["id"]] ^ sets[y["id"]])
+
+
+@pytest.mark.parametrize(("small", "left"), [(4096, 4), (4096, -1), (1, 4)])
+def test_jaccard_of_documents_that_meet_by_chance(spark, monkeypatch, small, left):
+    """By default, documents that only have sentences in common are not gathered into groups; every way gives the same links."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "LEFT", left)
+    grouped, real = [], jaccard._group_links
+    monkeypatch.setattr(jaccard, "_group_links", lambda *a: grouped.append(1) or real(*a))
+    texts = _mingled(random.Random(9), 160)
+    got = {r[0]: r[2] for r in jaccard.jaccard_join(rows(spark, *texts), 3, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == _linked(texts, 3, 80)
+    assert bool(grouped) == ((small, left) != (4096, 4))
+
+
 def test_jaccard_ids(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([("b", text), ("a", text), (None, text), ("c", "something else here"), ("b", None)], "doc_id string, text string")
