@@ -62,3 +62,19 @@ def test_escaped_texts_of_odd_rows(spark, tmp_path):
     columns = [d[0] for d in want.description]
     got = QUERIES["escaped_texts"](spark, str(tmp_path))
     assert _rows(got.columns, got.collect()) == _rows(columns, want.fetchall())
+
+
+def _compared(spark, tmp_path, name, table, schema, rows):
+    path = str(tmp_path / f"{table}.parquet")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from read_parquet('{path}/*.parquet')")
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, str(tmp_path))
+    assert _rows(got.columns, got.collect()) == _rows(columns, want.fetchall())
+
+
+def test_escaped_texts_keep_line_separators(spark, tmp_path):
+    rows = [(i, "plain <text>", lang, "web", None) for i, lang in enumerate(["en", "a\u2028b", "\u2029"])]
+    _compared(spark, tmp_path, "escaped_texts", "documents", "doc_id long, text string, lang string, source string, n_chars long", rows)
