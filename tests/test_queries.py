@@ -5,6 +5,7 @@ import decimal
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -78,3 +79,14 @@ def _compared(spark, tmp_path, name, table, schema, rows):
 def test_escaped_texts_keep_line_separators(spark, tmp_path):
     rows = [(i, "plain <text>", lang, "web", None) for i, lang in enumerate(["en", "a\u2028b", "\u2029"])]
     _compared(spark, tmp_path, "escaped_texts", "documents", "doc_id long, text string, lang string, source string, n_chars long", rows)
+
+
+def test_page_gates_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, negative keys and quantities, none at all: as in the SQL."""
+    rng = random.Random(3)
+    odd = lambda value, share=0.15: None if rng.random() < share else value
+    rows = [
+        (odd(page, 0.03), odd(n, 0.05), odd(rng.randint(-40, 400)), odd(rng.randint(-20, 200)), odd(float(rng.choice([-9, 0, 1, 12, 50]))), odd(rng.choice(["A", "N", "RX", ""])), odd(rng.choice("FO")))
+        for page in range(-60, 1200) for n in range(1, 2 + page % 4)
+    ]
+    _compared(spark, tmp_path, "page_gates", "lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string", rows)
