@@ -195,25 +195,12 @@ def _part_keys(k: int, percent: int, frequent: np.ndarray):
     return run
 
 
-def _set_rows(k: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for first, rows, _, value, at in _sets(batch.column(1), k):
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), lists], schema=schema)
-
-    return run
-
-
 def _parities(k: int):
-    """A set's parity bits: bit ``i`` of ``m`` tells whether an odd number of shingles has the hash ``i`` modulo ``m``.
+    """Each set and its parity bits: bit ``i`` of ``m`` tells whether an odd number of shingles has the hash ``i`` modulo ``m``.
 
     ``m`` is a power of two, at least the set's size up to 2^16. Two sets' bits differ in no more places than the sets do.
     """
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +212,8 @@ def _parities(k: int):
                 place = begin[row] + (value & (m[row] - 1).astype(np.uint64)).astype(np.int64)
                 odd = np.packbits((np.bincount(place, minlength=begin[-1]) & 1).astype(bool), bitorder="little")
                 bits = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((begin // 8).astype(np.int32)), pa.py_buffer(odd)])
-                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(sizes.astype(np.int32)), bits], schema=schema)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(sizes.astype(np.int32)), bits, lists], schema=schema)
 
     return run
 
@@ -462,18 +450,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     )
     near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     linked = (100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both")))
-    of = lambda ids, f, schema: written(mapped(docs.join(ids.distinct(), "id"), f, schema))
-    ends = lambda pairs: pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id")))
 
     # what parity bits leave of the pairs with a region's first document is compared exactly
-    bits = of(regions.select("id"), _parities(k), "id long, n int, bits binary")
+    seen = written(mapped(docs.join(regions.select("id").distinct(), "id"), _parities(k), "id long, n int, bits binary, shingles array<long>"))
+    bits, sets = seen.select("id", "n", "bits"), seen.select("id", "shingles")
     pairs = regions.where((F.col("id") != F.col("first")) & near(F.col("n"), F.col("first_n"))).select("id", F.col("first").alias("pivot")).distinct()
     both = pairs.join(bits.select("id", F.col("n").alias("x"), F.col("bits").alias("xs")), "id").join(bits.select(F.col("id").alias("pivot"), F.col("n").alias("y"), F.col("bits").alias("ys")), "pivot")
     alike = written(mapped(both.select("id", "pivot", "x", "y", "xs", "ys"), _alike(percent), "id long, pivot long").distinct())
-    sets = of(ends(alike), _set_rows(k), "id long, shingles array<long>")
     tested = written(_tested(alike, sets, percent).where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     dropped(alike)
-    dropped(sets)
     cells = written(components(tested))
 
     # regions whose other documents, beside the pivot, are of more than one cell
@@ -487,11 +472,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     found = written(mapped(small.repartition("part").sortWithinPartitions("part"), _candidates(percent), "part long, id long, pivot long"))
     alike = written(found.where("id is not null").select("id", "pivot").distinct())
     large = written(left.where(F.col("rows") > SMALL).select("part", "id", "cell").unionByName(left.join(found.where("id is null").select("part"), "part").select("part", "id", "cell")))
-    for table in (bits, left, found):
+    for table in (left, found):
         dropped(table)
 
     # the pairs that are left, and regions that are too large or have too many of them, gathered into groups that share none
-    sets = of(ends(alike).unionByName(large.select("id")), _set_rows(k), "id long, shingles array<long>")
     links = _tested(alike, sets, percent).where(linked).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     made = []
     if not large.isEmpty():
@@ -500,7 +484,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         more, made = _group_links(large, groups, sets, percent)
         links, made = links.unionByName(more), [groups, *made]
     cells = components(tested.unionByName(links))
-    for table in (alike, large, sets, tested, *made):
+    for table in (alike, large, seen, tested, *made):
         dropped(table)
     return cells.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
